@@ -77,3 +77,36 @@ def connected_components(edges: DataFrame, name: str, most_rounds: int = 60) ->
         if not moved:
             return labels
     raise RuntimeError(f"{name}: components did not settle in {most_rounds} rounds")
+
+
+def grouped(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """``run(table)`` for the rows of each distinct ``keys``, as an Arrow table; it returns an Arrow batch or None.
+
+    One shuffle and one sort by the keys; a task holds the rows of one group at a time. Cheaper than a grouped map for
+    many small groups. Callers bound the size of a group through the keys.
+    """
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held and (out := run(pa.Table.from_batches(held).combine_chunks())) is not None:
+                yield out
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            marks = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True))
+            first = 0
+            for i, mark in enumerate(marks):
+                if mark != at:
+                    if i > first:
+                        held.append(b.slice(first, i - first))
+                    yield from done()
+                    held, first, at = [], i, mark
+            held.append(b.slice(first))
+        yield from done()
+
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(over, schema)
