@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, lines, packing
+from . import bpe, html, jaccard, langid, lines, packing, secrets
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -28,13 +28,25 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(_table(spark, sf_dir, "documents"))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(_table(spark, sf_dir, "documents"))
+
+
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(_table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe, op2_jaccard, op3_pack, op8_lines)
+    for f in (op1_bpe, op2_jaccard, op3_pack, op5_secrets, op7_langid, op8_lines, op9_html)
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_lines": lines.ORACLE_SQL}
