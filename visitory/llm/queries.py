@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, html, jaccard, langid, lines, packing, secrets
+from . import ann, bpe, caps, html, jaccard, langid, lines, packing, secrets
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -32,6 +33,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(_table(spark, sf_dir, "documents"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(_table(spark, sf_dir, "documents"))
 
@@ -44,9 +49,13 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op10_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe, op2_jaccard, op3_pack, op5_secrets, op7_langid, op8_lines, op9_html)
+    for f in (op1_bpe, op2_jaccard, op3_pack, op5_secrets, op6_ann, op7_langid, op8_lines, op9_html, op10_caps)
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_lines": lines.ORACLE_SQL}
