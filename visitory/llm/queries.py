@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, caps, html, jaccard, langid, lines, packing, secrets
+from . import ann, bpe, caps, html, jaccard, langid, lines, mixing, packing, secrets
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -29,6 +29,10 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.scores(_table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe, op2_jaccard, op3_pack, op5_secrets, op6_ann, op7_langid, op8_lines, op9_html, op10_caps)
+    for f in (op1_bpe, op2_jaccard, op3_pack, op4_mixing, op5_secrets, op6_ann, op7_langid, op8_lines, op9_html, op10_caps)
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_lines": lines.ORACLE_SQL}
