@@ -1,0 +1 @@
+"""Web analytics on Spark: hits, visits, metrics, breakdowns and reports."""
