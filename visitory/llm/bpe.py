@@ -31,6 +31,24 @@ SHORT = 40
 CACHE = 500_000
 _NONE = np.int32(2**31 - 1)
 _LOADED: dict[str, WordBpe] = {}
+#: Lower case that Python's Unicode tables lack (Unicode 16 and 17), and the plain small sigma. Fixed values.
+_LOWER = (
+    {0x3A3: 0x3C3, 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+    | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
+    | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+)
+#: Letters and digits of later Unicode versions than the library's patterns know, where they count as signs. Fixed values.
+_LATER_RANGES = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF),
+    (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1),
+    (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF),
+    (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2),
+    (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD),
+    (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+_LATER = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _LATER_RANGES) + "]")
 
 
 def _byte_signs() -> list[str]:
@@ -145,9 +163,9 @@ class WordBpe:
         return np.array([p for p in parts if p >= 0], dtype="<u4").tobytes()
 
     def _cut(self, chunk: str) -> list[str]:
-        if not chunk.isascii() and any(unicodedata.category(c) == "Cn" for c in chunk):
-            # letters of later Unicode versions than the file's library knows count as signs
-            known = "".join("\x01" if unicodedata.category(c) == "Cn" else c for c in chunk)
+        if not chunk.isascii() and _LATER.search(chunk):
+            # same length, so words are cut from the chunk itself
+            known = _LATER.sub("\x01", chunk)
             return [chunk[m.start() : m.end()] for m in self._words.finditer(known)]
         return self._words.findall(chunk)
 
@@ -164,8 +182,9 @@ class WordBpe:
 
     def _chunks(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text)
-        if "Σ" in text:  # lower case goes by single characters: no final sigma
-            text = text.replace("Σ", "σ")
+        if not text.isascii():
+            # lower case goes by single characters: no final sigma; and by a later Unicode version than Python's
+            text = text.translate(_LOWER)
         text = text.lower()
         return regex.split(r"\s+", text) if self._odd_space.search(text) else text.split()
 
