@@ -10,6 +10,7 @@ notice, advert, form or comment is left out before.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -46,27 +47,31 @@ _UNLIKELY = re.compile(
 _LIKELY = re.compile(r"article|main|story|entry|post-?body|post-?content|article-?body|content-?body|articlebody", re.I)
 _BODY = re.compile(r"(?:^|[\s_-])(?:main|article|story)(?:$|[\s_-])", re.I)
 _WHITE = re.compile(r"\s+")
+#: Containers above a block that get points of it.
+LEVELS = 6
 
 
 class _Node:
-    __slots__ = ("children", "gone", "linked", "name", "parent", "points", "tag", "text")
+    __slots__ = ("children", "gone", "inside", "linked", "name", "parent", "points", "tag", "text")
 
     def __init__(self, tag: str, parent: _Node | None, gone: bool, name: str) -> None:
         self.tag, self.parent, self.gone, self.name = tag, parent, gone, name
-        self.children: list[_Node | list] = []
-        self.points, self.text, self.linked = 0.0, 0, 0
+        self.children: list[_Node] = []
+        self.points, self.text, self.linked, self.inside = 0.0, 0, 0, False
 
 
-def _tree(html: str) -> tuple[_Node, list[tuple[_Node, str, int]]]:
-    """The root, and the blocks in page order: (element, text, characters of it in links)."""
+def _tree(html: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
+    """All elements, each behind its parent, and the blocks in page order: (element, text, characters of it in links).
+
+    One pass over the page; open elements are counted by tag, so a closing tag without an opening one costs nothing.
+    """
     root = _Node("#root", None, False, "")
-    stack, blocks = [root], []
-    inline: list[str] = []
+    nodes, stack, blocks = [root], [root], []
+    open_tags: Counter[str] = Counter()
     held: list[str] = []
-    links = 0
-    at = 0
+    links = at = 0
+    in_link = False
     find = _MARK.search
-    gone_depth = 0
 
     def flush() -> None:
         nonlocal links
@@ -79,6 +84,8 @@ def _tree(html: str) -> tuple[_Node, list[tuple[_Node, str, int]]]:
 
     def close(depth: int) -> None:
         flush()
+        for node in stack[depth:]:
+            open_tags[node.tag] -= 1
         del stack[depth:]
 
     while at < len(html):
@@ -86,7 +93,7 @@ def _tree(html: str) -> tuple[_Node, list[tuple[_Node, str, int]]]:
         piece = html[at : m.start()] if m else html[at:]
         if piece:
             held.append(piece)
-            if "a" in inline:
+            if in_link:
                 links += len(piece.strip())
         if not m:
             break
@@ -97,49 +104,34 @@ def _tree(html: str) -> tuple[_Node, list[tuple[_Node, str, int]]]:
         tag = tag.lower()
         if m[1]:
             if tag in _INLINE:
-                if tag in inline:
-                    for i in range(len(inline) - 1, -1, -1):
-                        if inline[i] == tag:
-                            del inline[i]
-                            break
+                in_link = in_link and tag != "a"
                 continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-            else:
-                if tag in ("p", "br"):
-                    held.append(" ")
+            if open_tags[tag] > 0:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
+            elif tag in ("p", "br"):
+                held.append(" ")
             if tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th"):
-                inline.clear()
+                in_link = False
             continue
         if tag in _RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
             at = end.end() if end else len(html)
-            held.append(" " if tag in ("textarea", "iframe") else "")
-            continue
-        if tag in _INLINE and tag != "a":
-            named = m[3] and (n := _NAMED.findall(m[3])) and _UNLIKELY.search(" ".join(x.strip("\"'") for x in n))
-            if not named:
-                inline.append(tag)
-                continue
-            inline.append(tag)
+            if tag in ("textarea", "iframe"):
+                held.append(" ")
             continue
-        if tag == "a":
-            while "a" in inline:
-                inline.remove("a")
-            inline.append("a")
+        if tag in _INLINE:
+            in_link = in_link or tag == "a"
             continue
         if tag in ("br", "hr"):
             held.append(" ")
             continue
         if tag in _VOID:
             continue
-        if tag in _BLOCK_ENDS_P:
+        if tag in _BLOCK_ENDS_P and open_tags["p"] > 0:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
                     close(i)
-                    inline.clear()
+                    in_link = False
                     break
                 if stack[i].tag in ("td", "th", "button", "object", "div", "section", "article", "li"):
                     break
@@ -157,13 +149,15 @@ def _tree(html: str) -> tuple[_Node, list[tuple[_Node, str, int]]]:
         if not gone and tag not in ("html", "body", "article", "main"):
             gone = bool(name and _UNLIKELY.search(name) and not _BODY.search(name))
         if not gone and tag == "header":
-            gone = not any(x.tag in ("article", "main") for x in stack)
+            gone = not (open_tags["article"] > 0 or open_tags["main"] > 0)
         node = _Node(tag, parent, gone, name)
         parent.children.append(node)
+        nodes.append(node)
         if not m[3].endswith("/") or tag in ("p", "div"):
             stack.append(node)
+            open_tags[tag] += 1
     flush()
-    return root, blocks
+    return nodes, blocks
 
 
 def _density(node: _Node) -> float:
@@ -174,28 +168,29 @@ def extract(html: str | None) -> str:
     """The article's blocks, one space between them; empty if there is none."""
     if not html:
         return ""
-    _, blocks = _tree(html)
+    nodes, blocks = _tree(html)
     scored: dict[int, _Node] = {}
     for node, text, linked in blocks:
-        n = node
-        while n is not None:
-            n.text += len(text)
-            n.linked += linked
-            n = n.parent
+        node.text += len(text)
+        node.linked += linked
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.text += node.text
+            node.parent.linked += node.linked
+    for node, text, linked in blocks:
         if node.tag in ("h1", "h2", "h3", "h4", "h5", "h6") or (len(text) < 25 and node.tag != "p"):
             continue
         points = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - linked / len(text))
         above = node.parent if node.tag in ("p", "pre", "td", "li", "blockquote") and node.parent is not None else node
         level = 0
-        while above is not None and above.tag not in ("html", "#root"):
+        while above is not None and level < LEVELS and above.tag not in ("html", "#root"):
             above.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             scored[id(above)] = above
             above, level = above.parent, level + 1
     if not blocks:
         return ""
     if not scored:
-        kept = {id(blocks[0][0])} if len(blocks) == 1 else {id(b[0]) for b in blocks}
-        return " ".join(t for n, t, _ in blocks if id(n) in kept)
+        return " ".join(t for _, t, _ in blocks)
 
     def worth(node: _Node) -> float:
         bonus = 1.25 if node.tag in ("article", "main") or _LIKELY.search(node.name) else 1.0
@@ -221,14 +216,9 @@ def extract(html: str | None) -> str:
             text = sibling.text
             if worth(sibling) + same >= least or (sibling.tag == "p" and _density(sibling) < 0.25 and text > 80) or (sibling.tag in ("h1", "h2") and text):
                 kept.add(id(sibling))
-    out = []
-    for node, text, _ in blocks:
-        n = node
-        while n is not None and id(n) not in kept:
-            n = n.parent
-        if n is not None:
-            out.append(text)
-    return " ".join(out)
+    for node in nodes:
+        node.inside = id(node) in kept or (node.parent is not None and node.parent.inside)
+    return " ".join(text for node, text, _ in blocks if node.inside)
 
 
 def main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
