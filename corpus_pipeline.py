@@ -25,8 +25,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many documents share."""
-    found = lines.drop_repeated(docs).select("row.*", F.col("kept").alias("__kept"))
-    return _with_text(found, F.when(F.col("text").isNotNull(), F.col("__kept"))).drop("__kept")
+    found = lines.drop_repeated(docs)
+    text = F.when(F.col("row.text").isNotNull(), F.col("kept"))
+    return _with_text(found.select(F.col("row").withField("text", text).alias("row")).select("row.*"), F.col("text"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
