@@ -29,6 +29,12 @@ def lookup(rows: DataFrame, names: DataFrame, key: str, name_key: str, take: dic
     return out
 
 
+def with_city_id(rows: DataFrame, cities: DataFrame, country_col: str = "country", city_col: str = "city_name") -> DataFrame:
+    """``rows`` with ``city``, the id of the city of that name in that country in ``cities`` (country, name, city)."""
+    small = cities.select(F.col("country").alias("_country"), F.col("name").alias("_city"), "city").dropDuplicates(["_country", "_city"])
+    return rows.join(small, (F.col(country_col) == F.col("_country")) & (F.col(city_col) == F.col("_city")), "left").drop("_country", "_city")
+
+
 def flag(alpha2: Column) -> Column:
     """The flag of a two-letter country code: its letters as regional indicators."""
     def sign(k: int) -> Column:

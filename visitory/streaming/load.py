@@ -1,0 +1,21 @@
+"""A stream of made-up payloads for load tests, from Spark's rate source."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+PATHS = ("/", "/docs", "/blog", "/pricing", "/about", "/login", "/register")
+
+
+def payloads(spark: SparkSession, per_second: int = 100, domain: str = "load.example.com", visitors: int = 1024) -> DataFrame:
+    """Page views and now and then a purchase, at a steady rate, in the columns that ingest parses."""
+    n = F.col("value")
+    page = F.element_at(F.array(*map(F.lit, PATHS)), (n % len(PATHS) + 1).cast("int"))
+    return spark.readStream.format("rate").option("rowsPerSecond", per_second).load().select(
+        F.when(n % 20 == 0, "Purchase").otherwise("pageview").alias("n"),
+        F.concat(F.lit(f"https://{domain}"), page).alias("u"),
+        F.lit(domain).alias("d"),
+        F.unix_millis("timestamp").alias("ts"),
+        F.concat_ws(".", F.lit("10.0"), F.floor(n % visitors / 256).cast("string"), (n % 256).cast("string")).alias("remote_ip"),
+    )
