@@ -244,6 +244,15 @@ link</a> and   space, and a good deal of text in it.<p>Second &#233; paragraph,
 <section id="comments"><article class="comment"><p>Nice, very nice, I like it a lot, it is a long comment, by a reader.</p></article></section><footer>&copy; all</footer>"""
 
 
+@pytest.mark.parametrize(
+    ("name", "gone"),
+    [("content sidebar-left", False), ("layout has-sidebar", False), ("sidebar", True), ("left-sidebar", True), ("ad", True), ("google-ad", True), ("adapted", False), ("header", True),
+     ("comment-body", True), ("cookie-content", True), ("shadow", False), ("article-tags main", False), ("notice", True), ("post share-on", False), ("nav-menu", True), ("footer-content", True)],
+)
+def test_marks(name, gone):
+    assert html._unlikely(name) == gone
+
+
 def test_pages(spark):
     want = "Title & more First, a paragraph with bold, an inline link and space, and a good deal of text in it. Second é paragraph, unclosed, with commas, too. Part Short. One Two lines"
     assert html.extract(PAGE) == want

@@ -44,6 +44,10 @@ _UNLIKELY = re.compile(
     r"|page-header|share|sharing|social|related|recommended|recommendations|widget|pager|pagination|search|login|signup|sign-up|skip-link|copyright|disclaimer|legal|tags?|taboola|outbrain)(?:$|[\s_-])",
     re.I,
 )
+#: Layout words of a container: "content sidebar-left" is no sidebar, and "has-sidebar" none either.
+_LAYOUT = re.compile(r"(?:^|\s)(?:(?:main|page|site|post|article|entry)?[-_]?(?:content|body|wrapper|container|layout|columns?)|post|entry|page|row)(?:$|\s)", re.I)
+_BESIDE = re.compile(r"^[\s_-]*(?:side-?bar|header|nav|menu|widget|shar|social|tag|search)", re.I)
+_SAYS_HAS = re.compile(r"(?:^|\s)(?:has|with|without|no|is)-\S+", re.I)
 _LIKELY = re.compile(r"article|main|story|entry|post-?body|post-?content|article-?body|content-?body|articlebody", re.I)
 _BODY = re.compile(r"(?:^|[\s_-])(?:main|article|story)(?:$|[\s_-])", re.I)
 _WHITE = re.compile(r"\s+")
@@ -51,6 +55,13 @@ _WHITE = re.compile(r"\s+")
 LEVELS = 6
 
 
+def _unlikely(name: str) -> bool:
+    """Whether class, id and role mark an element as no part of an article."""
+    name = _SAYS_HAS.sub(" ", name)
+    m = _UNLIKELY.search(name)
+    return bool(m) and not _BODY.search(name) and not (_BESIDE.search(m[0]) and _LAYOUT.search(name))
+
+
 class _Node:
     __slots__ = ("children", "gone", "inside", "linked", "name", "parent", "points", "tag", "text")
 
@@ -147,7 +158,7 @@ def _tree(html: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
         name = " ".join(x.strip("\"'") for x in _NAMED.findall(m[3])) if m[3] else ""
         gone = parent.gone or tag in _GONE or bool(m[3] and _HIDDEN.search(m[3]))
         if not gone and tag not in ("html", "body", "article", "main"):
-            gone = bool(name and _UNLIKELY.search(name) and not _BODY.search(name))
+            gone = bool(name) and _unlikely(name)
         if not gone and tag == "header":
             gone = not (open_tags["article"] > 0 or open_tags["main"] > 0)
         node = _Node(tag, parent, gone, name)
