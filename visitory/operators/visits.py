@@ -3,11 +3,12 @@
 The window is anchored at the visit's first hit, so a gap rule does not find it. Yet a pause of 15 minutes always opens
 a visit, whatever came before, so pauses cut a visitor's hits into stretches that are worked out apart. The steps:
 
-1. Hits are dealt by (site, visitor, hour), so a visitor with very many hits is spread over the hours. Inside an hour
-   the pauses are seen directly; a summary row for each hour carries the last instant and the open stretch over to the
-   next hour.
+1. The distinct instants are gathered by (site, visitor, hour), so a visitor with very many hits is spread over the
+   hours. Inside an hour the pauses are seen directly; a small row for each hour carries the last instant and the open
+   stretch over to the next hour.
 2. A stretch shorter than the window is one visit. Longer ones are folded over their distinct instants.
-3. Windows over the visit give first hit, second hit and the time since the last hit.
+3. Hits take the start of their visit, and windows over the visit give first hit, second hit and the time since the
+   last hit.
 """
 
 from __future__ import annotations
@@ -25,31 +26,34 @@ def _micros(ts: str | Column) -> Column:
 
 
 def visit_starts(hits: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
-    """``hits`` (domain, id, seq, ts and any others) with ``visit_start``, the instant in microseconds."""
-    at = hits.withColumn("_us", _micros("ts")).withColumn("_hour", F.floor(F.col("_us") / 3_600_000_000))
-    hour = Window.partitionBy(*KEY, "_hour").orderBy("_us", "seq")
-    last = F.lag("_us").over(hour)
-    inside = at.withColumn("_pause", F.when(F.col("_us") - last >= window_us, F.col("_us")))
-    inside = inside.withColumn("_inside", F.max("_pause").over(hour))
-    hours = inside.groupBy(*KEY, "_hour").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.max("_inside").alias("_open"))
+    """``hits`` (domain, id, seq, ts and any others) with ``visit_start``, the instant in microseconds.
+
+    The starts are worked out on (site, visitor, instant) alone and joined to the hits at the end, so the hits' other
+    columns move only then.
+    """
+    at = hits.withColumn("_us", _micros("ts"))
+    hours = at.groupBy(*KEY, F.floor(F.col("_us") / 3_600_000_000).alias("_hour")).agg(F.array_sort(F.collect_set("_us")).alias("_all"))
+    after_pause = F.filter("_all", lambda x, k: F.coalesce(x - F.get("_all", k - 1) >= window_us, F.lit(False)))
+    # a small row for each hour: its ends, and at most four instants that follow a pause inside it
+    ends = hours.select(*KEY, "_hour", F.element_at("_all", 1).alias("_first"), F.element_at("_all", -1).alias("_last"), after_pause.alias("_inside"))
     order = Window.partitionBy(*KEY).orderBy("_hour")
     before = F.lag("_last").over(order)
-    hours = hours.withColumn("_opens", F.when(before.isNull() | (F.col("_first") - before >= window_us), F.col("_first")))
-    hours = hours.withColumn("_carry", F.last(F.coalesce("_open", "_opens"), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    hours = hours.select(*KEY, "_hour", F.coalesce("_opens", "_carry").alias("_stretch"))
-    joined = inside.join(hours, [*KEY, "_hour"]).withColumn("_stretch", F.coalesce("_inside", "_stretch")).drop("_pause", "_inside", "_hour")
-    long = joined.groupBy(*KEY, "_stretch").agg(F.array_sort(F.collect_set("_us")).alias("_all"), F.max("_us").alias("_end"))
-    long = long.filter(F.col("_end") - F.col("_stretch") >= window_us)
-    none = F.array().cast("array<bigint>")
+    opens = F.when(before.isNull() | (F.col("_first") - before >= window_us), F.array("_first")).otherwise(F.array().cast("array<bigint>"))
+    ends = ends.withColumn("_opens", F.concat(opens, "_inside"))
+    newest = F.when(F.size("_opens") > 0, F.element_at("_opens", -1))
+    carried = F.last(newest, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*KEY, "_hour", "_opens", carried.alias("_carried"))
+    instants = hours.join(ends, [*KEY, "_hour"]).select(*KEY, F.explode("_all").alias("_us"), "_opens", "_carried")
+    stretch = F.coalesce(F.array_max(F.filter("_opens", lambda s: s <= F.col("_us"))), "_carried")
+    stretches = instants.groupBy(*KEY, stretch.alias("_stretch")).agg(F.array_sort(F.collect_list("_us")).alias("_all"))
 
     def step(starts: Column, us: Column) -> Column:
-        newest = F.element_at(starts, -1)
-        return F.when(F.size(starts) == 0, F.array(us)).when(us - newest >= window_us, F.concat(starts, F.array(us))).otherwise(starts)
+        return F.when(us - F.element_at(starts, -1) >= window_us, F.concat(starts, F.array(us))).otherwise(starts)
 
-    long = long.select(*KEY, "_stretch", F.aggregate("_all", none, step).alias("_starts"))
-    found = joined.join(long, [*KEY, "_stretch"], "left")
-    own = F.array_max(F.filter("_starts", lambda s: s <= F.col("_us")))
-    return found.withColumn("visit_start", F.coalesce(own, F.col("_stretch"))).drop("_stretch", "_starts")
+    starts = F.when(F.element_at("_all", -1) - F.col("_stretch") < window_us, F.array("_stretch")).otherwise(F.aggregate("_all", F.array("_stretch"), step))
+    placed = stretches.select(*KEY, starts.alias("_starts"), F.explode("_all").alias("_us"))
+    placed = placed.select(*KEY, "_us", F.array_max(F.filter("_starts", lambda s: s <= F.col("_us"))).alias("visit_start"))
+    return at.join(placed, [*KEY, "_us"])
 
 
 def visits(hits: DataFrame, window_us: int = WINDOW_US, compat: bool = False) -> DataFrame:
