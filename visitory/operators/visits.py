@@ -29,7 +29,7 @@ def visit_starts(hits: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
     """``hits`` (domain, id, seq, ts and any others) with ``visit_start``, the instant in microseconds.
 
     The starts are worked out on (site, visitor, instant) alone and joined to the hits at the end, so the hits' other
-    columns move only then.
+    columns move only then. Hits without a site, visitor or time are left out.
     """
     at = hits.withColumn("_us", _micros("ts"))
     hours = at.groupBy(*KEY, F.floor(F.col("_us") / 3_600_000_000).alias("_hour")).agg(F.array_sort(F.collect_set("_us")).alias("_all"))
