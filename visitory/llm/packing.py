@@ -128,9 +128,9 @@ def place(rows: DataFrame, size: int = SIZE) -> DataFrame:
     held = written(held, "lengths")
     runs = plan({r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("count").alias("n")).collect()}, size)
     slots = spark.createDataFrame(runs, "length long, rank_from long, n long, first_sequence long, offset long")
-    # (part, length) -> its ranks; at most size rows for each part
+    # (part, length) -> its ranks; at most size rows for each part, which grows with the parts: merged, not broadcast
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = held.select("_part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
+    firsts = held.select("_part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first")).hint("merge")
     within = Window.partitionBy("_part", "length").orderBy("doc_id", "piece", "ids_crc32")
     ranked = kept.withColumn("_rank", F.row_number().over(within) - 1).join(firsts, ["_part", "length"])
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_first"))
