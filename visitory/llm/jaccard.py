@@ -33,7 +33,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Hashes(dict):
-    """Words to 64-bit hashes; starts anew when it has grown large."""
+    """Words to 64-bit hashes; starts anew when it has grown large, and after each task."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
@@ -182,6 +182,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, words: int = WORDS, n
             keys, count = bands(b.column("text").to_pylist(), n_bands, rows, words)
             packed = [k.tobytes() if c else None for k, c in zip(keys, count, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t1"), b.column("t2"), pa.array(packed, pa.binary()), pa.array(count, pa.int64())], names=["doc_id", "t1", "t2", "bands", "n_grams"])
+        _hashes.clear()  # workers live on for other operators
 
     with_text = base.filter("doc_id is not null and text <> ''")
     signed = with_text.mapInArrow(sign, f"doc_id {kind}, t1 long, t2 long, bands binary, n_grams long")
@@ -205,6 +206,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, words: int = WORDS, n
             ends = np.cumsum(count)
             sets = [np.unique(h[e - c : e]).tobytes() for e, c in zip(ends, count, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "grams"])
+        _hashes.clear()
 
     asked = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("first.doc_id").alias("doc_id"), "t1", "t2", "copies", "bands")
     texts = with_text.join(asked.select("node", "doc_id", "t1", "t2"), ["doc_id", "t1", "t2"]).select("node", "text")
