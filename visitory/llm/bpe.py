@@ -37,6 +37,7 @@ _LOWER = (
     | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
     | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 )
+_LOWER_SIGNS = frozenset(map(chr, _LOWER))
 #: Letters and digits of later Unicode versions than the library's patterns know, where they count as signs. Fixed values.
 _LATER_RANGES = (
     (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
@@ -51,6 +52,15 @@ _LATER_RANGES = (
 _LATER = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _LATER_RANGES) + "]")
 
 
+def _western(text: str) -> bool:
+    """Whether all signs are of Latin-1; a quick way past the tables above."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _byte_signs() -> list[str]:
     """The printable sign that stands for each byte in the file: itself, or the next free one from 256."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -163,7 +173,7 @@ class WordBpe:
         return np.array([p for p in parts if p >= 0], dtype="<u4").tobytes()
 
     def _cut(self, chunk: str) -> list[str]:
-        if not chunk.isascii() and _LATER.search(chunk):
+        if not _western(chunk) and _LATER.search(chunk):
             # same length, so words are cut from the chunk itself
             known = _LATER.sub("\x01", chunk)
             return [chunk[m.start() : m.end()] for m in self._words.finditer(known)]
@@ -182,7 +192,7 @@ class WordBpe:
 
     def _chunks(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text)
-        if not text.isascii():
+        if not _western(text) and not _LOWER_SIGNS.isdisjoint(text):
             # lower case goes by single characters: no final sigma; and by a later Unicode version than Python's
             text = text.translate(_LOWER)
         text = text.lower()
