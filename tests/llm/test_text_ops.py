@@ -253,6 +253,20 @@ def test_marks(name, gone):
     assert html._unlikely(name) == gone
 
 
+@pytest.mark.parametrize(
+    ("attributes", "gone"),
+    [('style="overflow:hidden"', False), ('class="overflow-hidden"', False), ('class="content visually-hidden-toggle"', False), ('title="Hidden valley"', False), ("data-hidden=1", False),
+     ('title="a hidden b" id=x', False), ("hidden=false", False), ("aria-hidden=false", False), ('style="visibility:visible;display:block"', False), ('title="display:none"', False),
+     ("style='display:none;display:block'", False), ('style="background:url(a;display:none)"', False),
+     ("hidden", True), ('id=x hidden=""', True), ("HIDDEN=hidden", True), ('aria-hidden="true"', True), ('style="color:red; Display : none"', True), ("style=visibility:hidden", True), ("style='display:none!important;display:block'", True)],
+)
+def test_hidden_elements(attributes, gone):
+    body = "A paragraph of the article, with some commas, and long enough to be scored by its length."
+    for tag in ("div", "article", "main"):
+        assert html.extract(f"<body><{tag} {attributes}><p>{body}</p></{tag}></body>") == ("" if gone else body)
+    assert html.extract(f"<body {attributes}><p>{body}</p></body>") == body
+
+
 def test_pages(spark):
     want = "Title & more First, a paragraph with bold, an inline link and space, and a good deal of text in it. Second é paragraph, unclosed, with commas, too. Part Short. One Two lines"
     assert html.extract(PAGE) == want

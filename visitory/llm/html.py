@@ -23,7 +23,10 @@ from .common import slices
 # tags, comments and declarations; quotes in attributes may hold ">"
 _MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_MAY_HIDE = re.compile(r"hidden|style", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+#: What may hold a ";" or ":" that parts no declarations of a style.
+_STYLE_INSIDE = re.compile(r"""/\*.*?\*/|\([^)]*\)|"[^"]*"|'[^']*'""", re.S)
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "xmp", "iframe", "noembed", "noframes"}
 _GONE = _RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "input", "label", "fieldset", "svg", "canvas", "object", "embed", "applet", "audio", "video", "dialog", "menu", "map", "math", "datalist"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -62,6 +65,27 @@ def _unlikely(name: str) -> bool:
     return bool(m) and not _BODY.search(name) and not (_BESIDE.search(m[0]) and _LAYOUT.search(name))
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether an element's attributes hide it: hidden, aria-hidden="true", or its style's display or visibility."""
+    if not _MAY_HIDE.search(attributes):
+        return False
+    have: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(attributes):
+        have.setdefault(name.lower(), unescape(value.strip("\"'")))
+    if "hidden" in have and have["hidden"].strip().lower() not in ("false", "until-found"):
+        return True
+    if have.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    style: dict[str, tuple[bool, str]] = {}
+    for part in _STYLE_INSIDE.sub(" ", have.get("style", "")).lower().split(";"):
+        name, _, value = part.partition(":")
+        name, (value, mark, _) = name.strip(), value.partition("!")
+        # the last one counts, but none overrules an important one
+        if bool(mark) >= style.get(name, (False, ""))[0]:
+            style[name] = bool(mark), value.strip()
+    return style.get("display", (False, ""))[1] == "none" or style.get("visibility", (False, ""))[1] == "hidden"
+
+
 class _Node:
     __slots__ = ("children", "gone", "inside", "linked", "name", "parent", "points", "tag", "text")
 
@@ -156,7 +180,8 @@ def _tree(html: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
         flush()
         parent = stack[-1]
         name = " ".join(x.strip("\"'") for x in _NAMED.findall(m[3])) if m[3] else ""
-        gone = parent.gone or tag in _GONE or bool(m[3] and _HIDDEN.search(m[3]))
+        # a page that is hidden as a whole is shown by its script
+        gone = parent.gone or tag in _GONE or (bool(m[3]) and tag not in ("html", "body") and _hidden(m[3]))
         if not gone and tag not in ("html", "body", "article", "main"):
             gone = bool(name) and _unlikely(name)
         if not gone and tag == "header":
