@@ -165,6 +165,17 @@ def test_secret_rows_and_marks(docs):
     assert secrets.find(docs.limit(0)).count() == 0
 
 
+def test_only_archives_are_charged(monkeypatch):
+    monkeypatch.setattr(secrets, "MOST_UNPACKED", 1000)
+    quoted = urllib.parse.quote(urllib.parse.quote(SECRET))
+    for text in ("a " * 2000 + quoted, "a " * 2000 + "\\u0041" + quoted + " %41", "a " * 2000 + quoted + " " + base64.b64encode(SECRET.encode()).decode()):
+        assert any(not x[3] and x[1] == 0 for x in secrets.scan(text))
+    # an archive beyond the budget is scanned all the same, and what stands beside it is unwrapped
+    packed = base64.b64encode(gzip.compress(("a " * 400 + SECRET + " a" * 400).encode())).decode()
+    found = [s for s, k, _, plain in secrets.scan(packed + " " + urllib.parse.quote(SECRET)) if k == 0 and not plain]
+    assert min(found) == 0 and max(found) > len(packed)
+
+
 def test_cycles_end():
     assert secrets.scan("%25" * 50 + "A" * 40 + "=" * 3) == []
 
