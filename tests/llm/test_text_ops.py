@@ -165,6 +165,47 @@ def test_secret_rows_and_marks(docs):
     assert secrets.find(docs.limit(0)).count() == 0
 
 
+def _b64(raw: bytes) -> str:
+    return base64.b64encode(raw).decode()
+
+
+def _wrapped(raw: bytes, width: int, end: str = "\n") -> str:
+    run = _b64(raw)
+    return end.join(run[k : k + width] for k in range(0, len(run), width))
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        *[_wrapped(b"x" * k + SECRET.encode() + b"y" * 50, width, end) for k in (30, 31, 40) for width, end in ((64, "\n"), (76, "\r\n"), (76, "\\n"))],
+        _wrapped(gzip.compress(random.Random(1).randbytes(200) + SECRET.encode()), 76),
+        *["/d/-_abcd"[-k:] + _b64(SECRET.encode()) for k in range(1, 8)], "\\n" + _b64(SECRET.encode()), "/d/" + _b64(gzip.compress(SECRET.encode())),
+        _b64(b"\xff\x00\x81" * 9 + SECRET.encode() + b"\x9f\xfe" * 9), _b64(SECRET.encode("utf-16")), _b64(("é " + SECRET).encode("latin-1")),
+        "%FF" + urllib.parse.quote(SECRET, safe="").replace("p", "%70"), "%FF" + "".join(f"%{b:02x}" for b in SECRET.encode()),
+        _b64(gzip.compress(b"first member") + gzip.compress(SECRET.encode())),
+    ],
+)
+def test_secrets_in_broken_layers(hidden):
+    text = "é before " + hidden + " behind"
+    found = [x for x in secrets.scan(text) if not x[3] and x[1] == 0]
+    assert found and all(9 <= s < e <= len(text) - 7 for s, _, e, _ in found)
+
+
+def test_spans_of_escapes_are_exact():
+    text = "%C3%A9%FF" + "".join(f"%{b:02x}" for b in b"token=abcdefghijkl") + "%20%20"
+    assert [x[:3] for x in secrets.scan(text)] == [(9, 0, 9 + 3 * 18)]
+
+
+def test_deep_nests_end(monkeypatch):
+    monkeypatch.setattr(secrets, "LEAST_EFFORT", 1000)
+    deep = "%" + "25" * 5000 + "41KIA" + "B" * 16
+    assert any(k == 1 for _, k, _, _ in secrets.scan(deep))
+    monkeypatch.setattr(secrets, "MOST_UNPACKED", 1000)
+    monkeypatch.setattr(secrets, "PIECE", 500)
+    long = _b64(zlib.compress(b"a " * 30_000 + SECRET.encode() + b" a" * 30_000))
+    assert any(k == 0 for _, k, _, _ in secrets.scan(long))
+
+
 def test_only_archives_are_charged(monkeypatch):
     monkeypatch.setattr(secrets, "MOST_UNPACKED", 1000)
     quoted = urllib.parse.quote(urllib.parse.quote(SECRET))
