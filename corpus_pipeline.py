@@ -17,10 +17,11 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; those without any letter (or text) go. Rare or short ones stay."""
+    """Documents whose text has a letter; those of which no language can be told go, for that reason and whatever
+    label is predicted. Rare or short ones stay, and all do where no language was learned."""
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), langid.held_out("doc_id", 3).alias("held_out"))
     languages = langid.learn(rows.filter("not held_out"))
-    return docs.filter(langid.detect(F.col("text"), languages)["lang_pred"] != langid.UNKNOWN)
+    return docs.filter(langid.detect(F.col("text"), languages)["reason"].isNull())
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

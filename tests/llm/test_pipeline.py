@@ -38,6 +38,12 @@ def test_stages(spark, docs):
     assert set(got["packing"]) == set(got["secret_scan"])
 
 
+@pytest.mark.parametrize("lang", [None, "und"])
+def test_language_stage_keeps_documents_of_any_label(spark, docs, lang):
+    kept = corpus_pipeline.language_id(spark, docs.withColumn("lang", F.lit(lang).cast("string")), "")
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - {60, 61, 62}
+
+
 def test_empty(spark, docs):
     at = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:

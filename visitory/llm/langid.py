@@ -132,15 +132,16 @@ def learn(rows: DataFrame) -> dict[str, list[int]]:
 
 
 def detect(text: Column | str, languages: dict[str, list[int]]) -> Column:
-    """A struct (lang_pred, score): the language of the largest cosine, by name among equal ones, and that cosine, not
-    below 0. ``und`` with score 0 if the text is null or has no letter, or no language was learned."""
+    """A struct (lang_pred, score, reason): the language of the largest cosine, by name among equal ones, and that cosine, not
+    below 0. ``und`` with score 0 if the text is null or has no letter, or no language was learned. The reason is null
+    unless the text itself has no language to be told: "no text" (null or empty) or "no letter"."""
     names = sorted(languages)
     profiles = np.array([languages[n] for n in names], np.float64).reshape(len(names), DIMS)
     profiles = (profiles / np.maximum(np.linalg.norm(profiles, axis=1, keepdims=True), 1e-300)).astype(np.float32)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, reason string")
     def guess(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = [], []
+        langs, scores, reasons = [], [], []
         values = [t if isinstance(t, str) else None for t in texts]
         at = 0
         while at < len(values):
@@ -160,8 +161,9 @@ def detect(text: Column | str, languages: dict[str, list[int]]) -> Column:
                 else:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
+                reasons.append(None if has[k] else "no letter" if values[at + k] else "no text")
             at += n
-        return pd.DataFrame({"lang_pred": pd.Series(langs, dtype=object), "score": pd.Series(scores, dtype=float)})
+        return pd.DataFrame({"lang_pred": pd.Series(langs, dtype=object), "score": pd.Series(scores, dtype=float), "reason": pd.Series(reasons, dtype=object)})
 
     return guess(text)
 
