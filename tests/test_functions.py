@@ -1,5 +1,6 @@
 """Periods, buckets, filters, scalars and user agents."""
 
+import json
 from datetime import datetime, timedelta
 
 import pytest
@@ -97,3 +98,18 @@ def test_breakdown_leaves_out_null(spark):
     assert [tuple(r) for r in shapes.breakdown(hits, "page").collect()] == [("a", 1.0)]
     with pytest.raises(ValueError):
         shapes.breakdown(hits, "event:props:x")
+
+
+def test_goal_filters_keep_every_value(spark):
+    hits = spark.createDataFrame([(1, "signup", "/a"), (2, "purchase", "/a"), (3, None, "/x"), (4, "other", "/y"), (5, "signup", "/x"), (6, None, None)], "k int, event string, page string")
+
+    def found(op, *goals):
+        items = filters.parse(json.dumps([[op, "event:goal", list(goals)]]))
+        return [r.k for r in hits.filter(filters.all_of(items)).orderBy("k").collect()]
+
+    assert found("is", "signup", "purchase") == [1, 2, 5]
+    assert found("is", "Visit /x", "Visit /y") == [3, 4, 5]
+    assert found("is", "purchase", "Visit /x") == [2, 3, 5]
+    assert found("is_not", "signup", "purchase") == [4]
+    assert found("is_not", "purchase", "Visit /x") == [1, 4]
+    assert found("contains", "purch", "Visit /y") == [2, 4]

@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 OPERATORS = ("is", "is_not", "matches", "does_not_match", "contains", "does_not_contain")
+NEGATIVE = ("is_not", "does_not_match", "does_not_contain")
 #: Keys of a query and the hit columns they stand for.
 KEYS = {
     "event:name": "event", "event:page": "page", "event:hostname": "host",
@@ -36,7 +37,8 @@ def column(key: str) -> str:
 
 
 def parse(text: str) -> list[tuple[str, str, list[str]]]:
-    """The items of a JSON filter list, keys translated; whole numbers become text, malformed items are left out."""
+    """The items of a JSON filter list, keys translated; whole numbers become text, malformed items are left out. An
+    item of goals that are both events and pages keeps the key "goal"."""
     out = []
     for item in json.loads(text or "[]"):
         if not (isinstance(item, list) and len(item) == 3 and isinstance(item[0], str) and isinstance(item[1], str)):
@@ -46,7 +48,8 @@ def parse(text: str) -> list[tuple[str, str, list[str]]]:
             continue
         values = [str(int(v)) if isinstance(v, (int, float)) else v for v in values]
         if item[1] == "event:goal":
-            out += [(item[0], *goal(v)) for v in values[:1]]
+            held = _goal_columns(values)
+            out.append((item[0], *next(iter(held.items()))) if len(held) == 1 else (item[0], "goal", values))
         else:
             out.append((item[0], column(item[1]), values))
     return out
@@ -71,8 +74,21 @@ def pattern(key: Column, regex: str) -> Column:
     return key.rlike(regex)
 
 
+def _goal_columns(names: list[str]) -> dict[str, list[str]]:
+    """The values of goals by hit column."""
+    held: dict[str, list[str]] = {}
+    for n in names:
+        key, values = goal(n)
+        held.setdefault(key, []).extend(values)
+    return held
+
+
 def condition(op: str, key: str, values: list[str]) -> Column:
     """One item as a condition on hits."""
+    if key == "goal":
+        # any goal may be reached, and a negative operator asks for none
+        parts = [condition(op, *x) for x in _goal_columns(values).items()]
+        return reduce(lambda a, b: a & b, parts) if op in NEGATIVE else _any(parts)
     name = column(key)
     col = F.col(name)
     if name == "city":
