@@ -319,6 +319,22 @@ def test_hidden_elements(attributes, gone):
     assert html.extract(f"<body {attributes}><p>{body}</p></body>") == body
 
 
+@pytest.mark.parametrize("name", ['class="elementor-widget elementor-widget-text-editor"', 'class="social-science-text"', 'class="legal-analysis"', 'id="search-results-study"', 'class="cookies-recipe"'])
+def test_articles_in_marked_containers(name):
+    body = [f"Paragraph {k} of the article, with some commas, and long enough to be scored by its length." for k in range(5)]
+    inside = f"<div {name}>" + "".join(f"<p>{x}</p>" for x in body) + "</div>"
+    assert html.extract(f"<body><div class=top>Home</div>{inside}<div class=comments><p>Nice, very nice.</p></div></body>") == " ".join(body)
+    stray = "A stray block, of some length, that stands somewhere else."
+    if "cookies" not in name:
+        assert " ".join(body) in html.extract(f"<body><div class=top><p>{stray}</p></div><div>{inside}</div></body>")
+
+
+def test_marked_parts_beside_an_article_stay_out():
+    body = "<p>" + "An article, with some commas, and a good deal of text in it. " * 3 + "</p>"
+    for name in ("widget", "related", "legal", "comments"):
+        assert "Beside" not in html.extract(f"<body><div>{body}</div><div class={name}><p>Beside, the article, something, that is long enough to be scored.</p></div></body>")
+
+
 def test_pages(spark):
     want = "Title & more First, a paragraph with bold, an inline link and space, and a good deal of text in it. Second é paragraph, unclosed, with commas, too. Part Short. One Two lines"
     assert html.extract(PAGE) == want

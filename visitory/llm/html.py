@@ -3,8 +3,8 @@
 A page becomes a tree of elements with blocks of text at its leaves. Each block of running text gives points for its
 length and its commas to its container, half of them to the next container, and less to those above. A container's
 points are discounted by the share of its text that stands in links. The container with most points is the article,
-together with those of its siblings that look like more of it; what is marked as a menu, header, footer, sidebar,
-notice, advert, form or comment is left out before.
+together with those of its siblings that look like more of it. Menus, footers, sidebars, forms and what is hidden are
+left out before; what class, id or role mark as such is left out unless nearly all of the text stands there.
 """
 
 from __future__ import annotations
@@ -47,6 +47,8 @@ _UNLIKELY = re.compile(
     r"|page-header|share|sharing|social|related|recommended|recommendations|widget|pager|pagination|search|login|signup|sign-up|skip-link|copyright|disclaimer|legal|tags?|taboola|outbrain)(?:$|[\s_-])",
     re.I,
 )
+#: Those of them that say so plainly; the others may as well stand on a container that holds the article.
+_PLAIN = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|cookies?\w*|consent|gdpr|comments?|commentlist|disqus|replies|respond|taboola|outbrain)(?:$|[\s_-])", re.I)
 #: Layout words of a container: "content sidebar-left" is no sidebar, and "has-sidebar" none either.
 _LAYOUT = re.compile(r"(?:^|\s)(?:(?:main|page|site|post|article|entry)?[-_]?(?:content|body|wrapper|container|layout|columns?)|post|entry|page|row)(?:$|\s)", re.I)
 _BESIDE = re.compile(r"^[\s_-]*(?:side-?bar|header|nav|menu|widget|shar|social|tag|search)", re.I)
@@ -56,6 +58,8 @@ _BODY = re.compile(r"(?:^|[\s_-])(?:main|article|story)(?:$|[\s_-])", re.I)
 _WHITE = re.compile(r"\s+")
 #: Containers above a block that get points of it.
 LEVELS = 6
+#: A page is read again where marked elements hold so many times the running text that was found.
+MARKED = 3
 
 
 def _unlikely(name: str) -> bool:
@@ -86,11 +90,16 @@ def _hidden(attributes: str) -> bool:
     return style.get("display", (False, ""))[1] == "none" or style.get("visibility", (False, ""))[1] == "hidden"
 
 
+def _mark(name: str) -> int:
+    """0 if class, id and role do not mark an element, 1 if they may, 2 if they do plainly."""
+    return (2 if _PLAIN.search(_SAYS_HAS.sub(" ", name)) else 1) if _unlikely(name) else 0
+
+
 class _Node:
-    __slots__ = ("children", "gone", "inside", "linked", "name", "parent", "points", "tag", "text")
+    __slots__ = ("children", "gone", "inside", "linked", "mark", "name", "parent", "points", "tag", "text")
 
-    def __init__(self, tag: str, parent: _Node | None, gone: bool, name: str) -> None:
-        self.tag, self.parent, self.gone, self.name = tag, parent, gone, name
+    def __init__(self, tag: str, parent: _Node | None, gone: bool, name: str, mark: int = 0) -> None:
+        self.tag, self.parent, self.gone, self.name, self.mark = tag, parent, gone, name, mark
         self.children: list[_Node] = []
         self.points, self.text, self.linked, self.inside = 0.0, 0, 0, False
 
@@ -182,11 +191,12 @@ def _tree(html: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
         name = " ".join(x.strip("\"'") for x in _NAMED.findall(m[3])) if m[3] else ""
         # a page that is hidden as a whole is shown by its script
         gone = parent.gone or tag in _GONE or (bool(m[3]) and tag not in ("html", "body") and _hidden(m[3]))
-        if not gone and tag not in ("html", "body", "article", "main"):
-            gone = bool(name) and _unlikely(name)
+        mark = parent.mark
+        if not gone and name and mark < 2 and tag not in ("html", "body", "article", "main"):
+            mark = max(mark, _mark(name))
         if not gone and tag == "header":
             gone = not (open_tags["article"] > 0 or open_tags["main"] > 0)
-        node = _Node(tag, parent, gone, name)
+        node = _Node(tag, parent, gone, name, mark)
         parent.children.append(node)
         nodes.append(node)
         if not m[3].endswith("/") or tag in ("p", "div"):
@@ -200,33 +210,57 @@ def _density(node: _Node) -> float:
     return node.linked / node.text if node.text else 0.0
 
 
+def _running(text: str, linked: int, node: _Node) -> int:
+    """The characters of running text in a block."""
+    return 0 if node.tag in ("h1", "h2", "h3", "h4", "h5", "h6") or (len(text) < 25 and node.tag != "p") else len(text) - linked
+
+
 def extract(html: str | None) -> str:
-    """The article's blocks, one space between them; empty if there is none."""
+    """The article's blocks, one space between them; empty if there is none.
+
+    Marked elements are left out at first. Where these hold far more running text than what was found, the page is read
+    again with those that are not plainly marked as candidates for half the points, and if there is no running text even
+    then, with all. What was found before stays.
+    """
     if not html:
         return ""
     nodes, blocks = _tree(html)
+    running = [_running(text, linked, node) for node, text, linked in blocks]
+    kept = _article(nodes, blocks, 0)
+    for most in (1, 2):
+        own = sum(running[k] for k in kept)
+        marked = sum(n for n, (node, _, _) in zip(running, blocks, strict=True) if node.mark == most)
+        if (MARKED * own < marked) if most == 1 else (not own and marked):
+            more = _article(nodes, blocks, most)
+            kept = more | kept if own else more
+    return " ".join(blocks[k][1] for k in sorted(kept))
+
+
+def _article(nodes: list[_Node], blocks: list[tuple[_Node, str, int]], most: int) -> set[int]:
+    """The numbers of the article's blocks, among those in elements marked up to ``most``."""
+    for node in nodes:
+        node.points, node.text, node.linked = 0.0, 0, 0
+    used = [(k, *b) for k, b in enumerate(blocks) if b[0].mark <= most]
     scored: dict[int, _Node] = {}
-    for node, text, linked in blocks:
+    for _, node, text, linked in used:
         node.text += len(text)
         node.linked += linked
     for node in reversed(nodes):
         if node.parent is not None:
             node.parent.text += node.text
             node.parent.linked += node.linked
-    for node, text, linked in blocks:
+    for _, node, text, linked in used:
         if node.tag in ("h1", "h2", "h3", "h4", "h5", "h6") or (len(text) < 25 and node.tag != "p"):
             continue
-        points = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - linked / len(text))
+        points = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - linked / len(text)) * (0.5 if node.mark else 1.0)
         above = node.parent if node.tag in ("p", "pre", "td", "li", "blockquote") and node.parent is not None else node
         level = 0
         while above is not None and level < LEVELS and above.tag not in ("html", "#root"):
             above.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             scored[id(above)] = above
             above, level = above.parent, level + 1
-    if not blocks:
-        return ""
     if not scored:
-        return " ".join(t for _, t, _ in blocks)
+        return {k for k, *_ in used}
 
     def worth(node: _Node) -> float:
         bonus = 1.25 if node.tag in ("article", "main") or _LIKELY.search(node.name) else 1.0
@@ -246,7 +280,7 @@ def extract(html: str | None) -> str:
     if best.tag not in ("article", "body") and best.parent is not None:
         least = max(3.0, 0.2 * worth(best))
         for sibling in best.parent.children:
-            if sibling.gone or sibling is best:
+            if sibling.gone or sibling.mark > most or sibling is best:
                 continue
             same = 0.2 * worth(best) if sibling.name and sibling.name == best.name else 0.0
             text = sibling.text
@@ -254,7 +288,7 @@ def extract(html: str | None) -> str:
                 kept.add(id(sibling))
     for node in nodes:
         node.inside = id(node) in kept or (node.parent is not None and node.parent.inside)
-    return " ".join(text for node, text, _ in blocks if node.inside)
+    return {k for k, node, _, _ in used if node.inside}
 
 
 def main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
