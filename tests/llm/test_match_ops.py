@@ -141,6 +141,16 @@ def test_nearest_equal_brute_force(spark, monkeypatch):
     assert ann.nearest(spark.createDataFrame([], VEC), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("dims", [32, 64])
+def test_near_vectors_share_filters_in_large_tables(dims):
+    made, rng = caps.Filters(dims, 1_000_000), np.random.default_rng(5)
+    a, b = rng.normal(size=(2, 1500, dims))
+    a = caps.units(a)
+    b = caps.units(b - (a * b).sum(axis=1, keepdims=True) * a)
+    lists = zip(made.listed(a), made.listed(0.95 * a + np.sqrt(1 - 0.95**2) * b), strict=True)
+    assert sum(not len(np.intersect1d(x, y)) for x, y in lists) == 0
+
+
 def test_scores(spark):
     rnd = random.Random(6)
     langs = {"en": "the and of to in was with that".split(), "fr": "le la des une que dans pour est".split()}

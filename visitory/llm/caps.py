@@ -4,8 +4,9 @@ Vectors are turned by a random rotation and cut into BLOCKS parts; each part has
 filter direction is one code vector of each part side by side. A vector belongs to every filter whose score (the sum of
 its parts' products) exceeds a bound; these are listed part by part, leaving out what cannot reach the bound any more.
 The code grows with the cube root of the number of vectors, so a filter holds few unrelated vectors at any size, and
-the bound is set so that a vector meets about LISTED filters. A vector that meets fewer than LEAST_LISTED takes a lower
-bound of its own. Two vectors near each other share about half of their filters; sharing one is enough.
+the bound is set so that a vector meets as many as listed_at gives: the larger the code, the smaller the share of their
+filters that near vectors have in common, so the number grows with the table to keep the chance of a pair without any
+equally small. A vector that meets fewer than half of it takes a lower bound of its own. Sharing one filter is enough.
 
 Vectors meet in the shuffle on filters. A filter whose members are those of an earlier one is left out, and a pair
 counts only in the first filter it shares, so no pair becomes a row and none is counted twice. Filters with many
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import connected_components, grouped, slices, written
 from .jaccard import roots
 
-BLOCKS, LISTED, LEAST_LISTED = 3, 64, 32
+BLOCKS = 3
+#: Filters of each vector at 10,000 vectors or fewer; twice as many for every hundredfold table.
+LISTED = 128
 #: Filters for each vector, which keeps unrelated vectors apart.
 SPARSE = 200
 CHUNK = 1024
@@ -38,6 +41,11 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def listed_at(vectors: int) -> int:
+    """The filters that each of ``vectors`` vectors should meet."""
+    return int(np.ceil(LISTED * 2 ** (np.log10(max(vectors, 10_000) / 10_000) / 2)))
+
+
 class Filters:
     """The filter directions for vectors of ``dims`` dimensions, the same in every task."""
 
@@ -53,7 +61,8 @@ class Filters:
         for cut in self.cuts:
             w = rng.normal(size=(self.code, len(cut)))
             self.words.append(w / np.linalg.norm(w, axis=1, keepdims=True) / np.sqrt(blocks))
-        tail = min(0.5, LISTED / self.code**blocks)
+        self.wanted = listed_at(vectors)
+        tail = min(0.5, self.wanted / self.code**blocks)
         self.bound = -NormalDist().inv_cdf(tail) / np.sqrt(dims) if tail < 0.5 else -1.0
 
     def _over(self, scores: list[np.ndarray], bound: float) -> np.ndarray:
@@ -77,7 +86,7 @@ class Filters:
         for k in range(len(units)):
             own, bound = [s[k] for s in scores], self.bound
             names = self._over(own, bound)
-            while len(names) < min(LEAST_LISTED, self.code ** len(own)):
+            while len(names) < min(self.wanted // 2, self.code ** len(own)):
                 bound -= 0.02
                 names = self._over(own, bound)
             out.append(np.sort(names))
@@ -158,6 +167,8 @@ def near_vectors(rows: DataFrame, least: float = 0.95, id_col: str = "vec_id", v
     members = written(listed.join(held.select("dims", "filter", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), ["dims", "filter"]), "members")
     lists = members.groupBy("node").agg(F.collect_list("filter").alias("filters"))
     dealt = members.join(nodes.select("node", "copies", "vector").join(lists, "node"), "node")
+    # only earlier filters are asked for
+    dealt = dealt.withColumn("filters", F.filter("filters", lambda x: x < F.col("filter")))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).drop("other", "chunks")
