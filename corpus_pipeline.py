@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitory.llm import jaccard, langid, lines, packing, secrets
-from visitory.llm.common import written
+from visitory.llm.common import scratch, written
 from visitory.llm.queries import VOCABULARY
 
 
@@ -17,11 +17,17 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a letter; those of which no language can be told go, for that reason and whatever
-    label is predicted. Rare or short ones stay, and all do where no language was learned."""
+    """Documents of a known language, learned from those that are labelled; a missing lang becomes the predicted one.
+    Those without any letter go, and those of many different runs of letters that are like no language of the table
+    (see :func:`langid.detect`). Short or monotonous texts stay, and all with letters do where no language was learned."""
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), langid.held_out("doc_id", 3).alias("held_out"))
     languages = langid.learn(rows.filter("not held_out"))
-    return docs.filter(langid.detect(F.col("text"), languages)["reason"].isNull())
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), langid.detect(F.col("text"), languages).alias("found"))
+    found = found.filter("found.reason is null")
+    if languages:
+        lang = F.coalesce(F.col("row.lang"), F.col("found.lang_pred").cast(docs.schema["lang"].dataType))
+        found = found.select(F.col("row").withField("lang", lang).alias("row"))
+    return found.select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +38,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id; rows that repeat its doc_id go too.
-    Documents with a null doc_id stay."""
-    kept = jaccard.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    """One document of each group of near copies, the one with the smallest doc_id. A row goes for its own text only,
+    never for its doc_id; documents with a null doc_id or without text stay."""
+    return jaccard.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again for the next."""
+    """All stages over ``documents``, each written as Parquet and read again for the next; what a stage wrote besides
+    its result goes when it ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:
+            docs = keep(written(stage(spark, docs, sf_dir), name))
     return STAGES[-1][1](spark, docs, sf_dir)

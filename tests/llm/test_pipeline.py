@@ -1,6 +1,8 @@
 """The pipeline's stages on a small corpus with odd rows, and its parts together on a test table."""
 
+import itertools
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +46,21 @@ def test_language_stage_keeps_documents_of_any_label(spark, docs, lang):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - {60, 61, 62}
 
 
+def test_language_stage_labels_and_rejects(spark):
+    en = [(k, " ".join(random.Random(k).choices("the and of to in was with that from".split(), k=30)), "en" if k else None) for k in range(20)]
+    rows = [*en, (30, "".join(random.Random(1).choices("абвгдежзиклмнопрстуфхц ", k=600)), None), (31, "да", None)]
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()}
+    assert kept == {k: "en" for k in [*range(20), 31]}
+
+
+@pytest.mark.parametrize("order", list(itertools.permutations(range(3))))
+def test_near_stage_decides_by_row(spark, order):
+    a = " ".join(f"word{k}" for k in range(60))
+    rows = [(3, a), (5, a + " more"), (5, " ".join(f"other{k}" for k in range(60)))]
+    made = spark.createDataFrame([rows[k] for k in order], "doc_id long, text string").repartition(1)
+    assert sorted(tuple(r) for r in corpus_pipeline.near_dedup(spark, made, "").collect()) == [rows[0], rows[2]]
+
+
 def test_empty(spark, docs):
     at = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:

@@ -5,6 +5,8 @@ import gzip
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import urllib.parse
 import zlib
 from collections import Counter, defaultdict
@@ -238,17 +240,53 @@ def test_languages(spark, docs):
     assert langid.predictions(docs.limit(0)).count() == 0
 
 
-def test_cosines_are_those_of_whole_vectors():
-    matrix, vectors, has = langid.counted(["Ab cab", "", "日本 語"])
-    assert has.tolist() == [True, False, True]
-    runs = langid._RUNS[0]
-    letter = runs._letter
-
-    def bound(a, b, c):
-        return np.roll(letter(ord(a)), 2) * np.roll(letter(ord(b)), 1) * letter(ord(c))
-
-    want = sum(bound(*x) for x in (" ab", "ab ", " ca", "cab", "ab "))
-    assert np.allclose((matrix @ vectors)[0], want)
+def _plain_bundle(text):
+    letter = lambda c: langid._Runs.letter(np.array([ord(c)]))[0].astype(int)
+    want = np.zeros(langid.DIMS, int)
+    low = f" {(text or '').lower()} "
+    low = "".join(c if c.isalpha() else " " for c in low)
+    for a, b, c in zip(low, low[1:], low[2:]):
+        if b != " ":
+            want += np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c)
+    return want
+
+
+@pytest.mark.parametrize("piece", [1 << 16, 3, 7])
+def test_bundles_are_sums_of_bound_runs(monkeypatch, piece):
+    monkeypatch.setattr(langid, "PIECE", piece)
+    monkeypatch.setattr(langid, "RUNS", 5)
+    texts = ["Ab cab", "", "日本 語", None, "-- 12 --", "a", "ΣΟΦΟΣ, İstanbul's long-winded text!", "x1y"]
+    sums, letters = langid.bundled(texts)
+    assert letters.tolist() == [sum(c.isalpha() for c in (t or "").lower()) for t in texts]
+    assert all((sums[k] == _plain_bundle(t)).all() for k, t in enumerate(texts))
+    by_owner, _ = langid.bundled(texts, np.array([0, 1, 0, 1, 0, 1, 0, 1]))
+    assert (by_owner == np.stack([sums[0::2].sum(axis=0), sums[1::2].sum(axis=0)])).all()
+
+
+def test_predictions_equal_brute_force(spark):
+    rnd = random.Random(9)
+    rows = [(k, "".join(rnd.choices("aeioubdkl 12.\n" if k % 3 else "αβγδ ", k=rnd.randint(0, 200))), [None, "one", "two"][k % 3]) for k in range(90)]
+    sums = {}
+    for d, t, lang in rows:
+        if lang and zlib.crc32(str(d).encode()) % 3 != 1:
+            sums[lang] = sums.get(lang, 0) + _plain_bundle(t)
+    for r in langid.predictions(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect():
+        own = _plain_bundle(rows[r.doc_id][1])
+        cosines = {g: own @ v / max(1e-30, np.linalg.norm(own) * np.linalg.norm(v)) for g, v in sums.items()}
+        if any(c.isalpha() for c in rows[r.doc_id][1]):
+            assert abs(cosines[r.lang_pred] - max(cosines.values())) < 1e-6 and abs(r.score - max(0, cosines[r.lang_pred])) < 1e-6
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
+def test_long_texts_take_bounded_memory():
+    code = (
+        "import resource, numpy as np\nfrom visitory.llm import langid\n"
+        "text = ''.join(map(chr, np.random.default_rng(1).integers(0x4e00, 0x9fff, 1_000_000)))\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\nlangid.bundled([text])\n"
+        "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)"
+    )
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120).stdout) < 300
 
 
 def _plain_lines(rows):

@@ -28,7 +28,7 @@ from .common import slices
 
 SHORT = 40
 #: Entries of a worker's word cache; beyond it the cache starts anew, so memory stays bounded on any corpus.
-CACHE = 500_000
+CACHE = 250_000
 _NONE = np.int32(2**31 - 1)
 _LOADED: dict[str, WordBpe] = {}
 #: Lower case that Python's Unicode tables lack (Unicode 16 and 17), and the plain small sigma. Fixed values.

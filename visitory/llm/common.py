@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,15 +30,45 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written as Parquet in a new folder of :func:`shared_dir` and read again.
 
-    The result has no lineage behind it and survives the loss of executors. The folder belongs to the caller's
-    job and goes when the cluster clears its checkpoint folder.
+    The result has no lineage behind it and survives the loss of executors. The folder goes at the end of the
+    :func:`scratch` block around the call, if there is one; else it is the caller's to clear.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _MADE:
+        made.append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_MADE: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, at the end of the block, the folders that :func:`written` made in it, but for those behind the tables
+    that were handed to the function it gives. Use it where the block's result is written itself: a table that still
+    has to be computed from a folder must be kept."""
+    made: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.extend(df.inputFiles())
+        return df
+
+    _MADE.append(made)
+    try:
+        yield keep
+    finally:
+        _MADE.remove(made)
+        context = spark.sparkContext
+        for path in made:
+            name = path.rsplit("/", 1)[1]
+            if not any(f"/{name}/" in file for file in kept):
+                folder = context._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches by rows so that ``column`` (string or binary) holds about ``most_bytes`` in each piece."""
     for batch in batches:
@@ -50,6 +81,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
                 n //= 2
             yield batch.slice(at, n)
             at += n
+    # workers live on for other operators
+    pa.default_memory_pool().release_unused()
 
 
 def connected_components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, grouped, slices, written
@@ -27,7 +27,7 @@ from .common import connected_components, grouped, slices, written
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Bounds of a chunk of a bucket: documents, n-grams.
-CHUNK_DOCS, CHUNK_GRAMS = 2048, 1_000_000
+CHUNK_DOCS, CHUNK_GRAMS = 512, 500_000
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -36,7 +36,7 @@ class _Hashes(dict):
     """Words to 64-bit hashes; starts anew when it has grown large, and after each task."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -165,17 +165,24 @@ def _bucket(table: pa.Table, least: float) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(row[some]), pa.array(links[some]), pa.array(smallest[some])], names=["node", "links", "root"])
 
 
-def near_duplicates(docs: DataFrame, least: float = LEAST, words: int = WORDS, n_bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_key(text: Column) -> list[Column]:
+    """t1 and t2: 128 bits that stand for a text."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
+def near_duplicates(docs: DataFrame, least: float = LEAST, words: int = WORDS, n_bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", keys: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, class_id (the smallest doc_id that links reach, itself included), n_links (other
     rows whose text is the same or has a similarity of at least ``least``), kept (true for one row of each class).
 
     Null and empty texts link with nothing, and texts without any word only with their exact copies. Rows that repeat
     a doc_id are rows of their own; rows with a null doc_id link with nothing, have a null class_id and are kept.
-    An empty table gives an empty result. Other columns are not read.
+    An empty table gives an empty result. Other columns are not read. With ``keys`` the columns t1 and t2 of
+    :func:`text_key` follow.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    base = base.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    base = base.select("doc_id", "text", *text_key(F.col("text")))
+    more = ["t1", "t2"] if keys else []
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 19):
@@ -225,6 +232,18 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, words: int = WORDS, n
     known = nodes.select("t1", "t2", "copies", "node", "first").join(linked, "node", "left")
     known = known.select("t1", "t2", "copies", F.coalesce("leader", "first").alias("leader"), F.coalesce("links", F.lit(0)).alias("links"))
     out = signed.select("doc_id", "row", "t1", "t2").join(known, ["t1", "t2"])
-    out = out.select("doc_id", F.col("leader.doc_id").alias("class_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"), (F.col("row") == F.col("leader.row")).alias("kept"))
+    out = out.select("doc_id", F.col("leader.doc_id").alias("class_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"), (F.col("row") == F.col("leader.row")).alias("kept"), *more)
     alone = base.filter("doc_id is null or text is null or text = ''")
-    return out.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept")))
+    return out.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), *more))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: float) -> DataFrame:
+    """The rows of ``docs``, whole, without near copies: of each class of :func:`near_duplicates` (which takes ``how``)
+    the row that it keeps. Rows are told apart by id and text, so a row stays whatever else has its id; of rows with
+    the same id and text, one stays. Null and empty texts and null ids stay. An empty table gives an empty result."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"), *text_key(text))
+    compared = F.col("doc_id").isNotNull() & (F.coalesce(F.col("text"), F.lit("")) != "")
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, keys=True, **how).filter("kept").select("doc_id", "t1", "t2")
+    met = rows.filter(compared).join(kept, ["doc_id", "t1", "t2"], "left_semi").dropDuplicates(["doc_id", "t1", "t2"])
+    return met.select("row.*").unionByName(rows.filter(~compared).select("row.*"))
