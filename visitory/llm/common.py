@@ -112,11 +112,12 @@ def connected_components(edges: DataFrame, name: str, most_rounds: int = 60) ->
     raise RuntimeError(f"{name}: components did not settle in {most_rounds} rounds")
 
 
-def grouped(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+def grouped(df: DataFrame, keys: list[str], run, schema: str, spread: bool = False) -> DataFrame:
     """``run(table)`` for the rows of each distinct ``keys``, as an Arrow table; it returns an Arrow batch or None.
 
     One shuffle and one sort by the keys; a task holds the rows of one group at a time. Cheaper than a grouped map for
-    many small groups. Callers bound the size of a group through the keys.
+    many small groups. Callers bound the size of a group through the keys. ``spread`` keeps as many partitions as
+    shuffles have, for groups that take long although they are small.
     """
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,5 +142,6 @@ def grouped(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
             held.append(b.slice(first))
         yield from done()
 
-    dealt = df.repartition(*keys).sortWithinPartitions(*keys)
+    most = [int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))] if spread else []
+    dealt = df.repartition(*most, *keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(over, schema)
