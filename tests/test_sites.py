@@ -1,15 +1,14 @@
-"""Sites and goals, city ids, the API functions and the load stream."""
+"""Sites and goals, city ids, the API functions and the hit store."""
 
-import uuid
 from datetime import datetime
 
 import pytest
 
-from visitory.operators import lookups, visits
+from visitory.functions import periods
+from visitory.operators import lookups, metrics, shapes, visits
 from visitory.plans import api
 from visitory.schema import SITE
-from visitory.sources import sites
-from visitory.streaming import load
+from visitory.sources import sites, store
 
 
 def test_sites_and_goals(spark):
@@ -47,12 +46,23 @@ def test_api(spark):
         api.breakdown(hits, "a.org", "event:props:x", now)
 
 
-def test_load_stream(spark):
-    name = "load" + uuid.uuid4().hex
-    q = load.payloads(spark, 50).writeStream.format("memory").queryName(name).start()
-    try:
-        while not spark.table(name).count():
-            q.processAllAvailable()
-        assert spark.table(name).filter("n = 'pageview' and u like 'https://load.example.com/%'").count()
-    finally:
-        q.stop()
+def test_api_periods_and_comparison(spark):
+    now = datetime(2024, 1, 5, 12)
+    rows = [("a.org", k, k, datetime(2024, 1, 1 + k, 3), True, None, "/x", "a.org") for k in range(4)]
+    hits = visits.visits(spark.createDataFrame(rows, "domain string, id long, seq long, ts timestamp_ntz, view boolean, event string, page string, host string"))
+    assert api.aggregate(hits, "a.org", now, **api.between("2024-01-02", "2024-01-03")).first().visitors == 2
+    got = api.aggregate(hits, "a.org", now, **api.between("2024-01-03", "2024-01-04"), metrics="pageviews,visitors", comparison="previous_period").first()
+    assert got.asDict() == {"pageviews": 2.0, "pageviews_change": 0.0, "visitors": 2.0, "visitors_change": 0.0}
+
+
+def test_store_prunes_days_and_sites(spark, tmp_path):
+    path = str(tmp_path / "hits")
+    rows = [(f"{s}.org", k, k, datetime(2024, 1, 1 + k, 3), True, None, "/x", "a.org") for s in "ab" for k in range(4)]
+    hits = visits.visits(spark.createDataFrame(rows, "domain string, id long, seq long, ts timestamp_ntz, view boolean, event string, page string, host string"))
+    store.write(hits, path)
+    kept = store.read(spark, path)
+    two = shapes.select(kept, "a.org", periods.period("custom", datetime(2024, 1, 9), "2024-01-02,2024-01-03"))
+    assert metrics.measure(two, [], ["visitors", "visits"]).first()[:] == (2.0, 2.0)
+    plan = two._jdf.queryExecution().executedPlan().toString()
+    pruned = plan[plan.index("PartitionFilters") : plan.index("PushedFilters")]
+    assert "day" in pruned and "domain" in pruned

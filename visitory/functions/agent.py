@@ -1,6 +1,6 @@
 """User agents: device, system and browser by short ordered rule tables of this package, and a bot test.
 
-Rules are built into one CASE expression each. :func:`parsed` runs them on distinct agents only and joins the result.
+Rules are built into one CASE expression each. :func:`parsed` works them out row by row, without a shuffle.
 """
 
 from __future__ import annotations
@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scalar import once
+
 BOT = r"(?i)bot\b|bot/|crawl|spider|slurp|headless|lighthouse|facebookexternalhit|embedly|pingdom|monitor|curl/|wget/|python-requests|httpclient|go-http|java/|okhttp|scrapy|phantomjs|preview"
 #: (pattern, name), first match wins.
 DEVICES = (
@@ -82,12 +84,7 @@ def browser_version(agent: Column) -> Column:
 
 
 def parsed(rows: DataFrame, agent_col: str = "user_agent") -> DataFrame:
-    """``rows`` with device, os, os_version, browser, browser_version and bot.
-
-    Each distinct agent is parsed once. The join has no broadcast hint: Spark chooses by the size it measures.
-    """
-    agent = F.col("_agent")
-    known = rows.select(F.col(agent_col).alias("_agent")).filter("_agent is not null").distinct()
-    known = known.select("_agent", device(agent).alias("device"), system(agent).alias("os"), system_version(agent).alias("os_version"), browser(agent).alias("browser"), browser_version(agent).alias("browser_version"), is_bot(agent).alias("bot"))
-    out = rows.join(known, F.col(agent_col) == F.col("_agent"), "left").drop("_agent")
-    return out.withColumn("bot", F.coalesce("bot", F.lit(False)))
+    """``rows`` with device, os, os_version, browser, browser_version and bot, on a batch or a stream."""
+    a = F.col(agent_col)
+    kinds = [device(a).alias("device"), system(a).alias("os"), system_version(a).alias("os_version"), browser(a).alias("browser"), browser_version(a).alias("browser_version"), is_bot(a).alias("bot")]
+    return once(rows, *rows.columns, *kinds)

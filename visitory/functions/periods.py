@@ -110,6 +110,12 @@ def within(p: Period, ts: str = "ts", mode: str = "exact") -> Column:
     return (F.col(ts) >= F.lit(first).cast("timestamp_ntz")) & (F.col(ts) < F.lit(after).cast("timestamp_ntz"))
 
 
+def outer(p: Period) -> tuple[datetime, datetime]:
+    """Instants that everything :func:`within` takes lies between, in either mode."""
+    last = truncated(p.end, p.interval)
+    return truncated(p.start, p.interval), following(following(last, p.interval), p.interval)
+
+
 def truncated(t: datetime, interval: str) -> datetime:
     if interval == "minute":
         return t.replace(second=0, microsecond=0)

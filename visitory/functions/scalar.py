@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Headers that may name the client, in order; the remote address comes last.
-ADDRESS_HEADERS = ("x-real-ip", "x-forwarded-for", "x-client-ip", "cf-connecting-ip", "true-client-ip", "forwarded-for", "forwarded")
+#: Headers that may name the client, in order; the remote address comes last. Fixed values.
+ADDRESS_HEADERS = ("cf-connecting-ip", "b-forwarded-for", "x-real-ip", "x-forwarded-for", "x-client-ip", "fly-client-ip")
 _ADDRESS = r"^(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f:]*:[0-9A-Fa-f:.]*)$"
 
 
@@ -41,8 +41,14 @@ def first_domain(domains: Column) -> Column:
     return filled(F.split_part(domains, F.lit(","), F.lit(1)))
 
 
+def once(rows: DataFrame, *columns: Column | str) -> DataFrame:
+    """``rows.select(*columns)`` with every column worked out once: the optimizer does not write its expression into
+    each later use, as it does with projections. Row by row, on a batch and on a stream."""
+    return rows.select(F.inline(F.array(F.struct(*columns))))
+
+
 def clean_referrer(referrer: Column) -> Column:
-    """With a scheme, without www. and one slash at the end; null for direct traffic."""
+    """With a scheme, without www. and one slash at the end, of its first 2,000 characters; null for direct traffic."""
     bare = filled(F.substring(referrer, 1, 2000))
     whole = F.when(bare.startswith("http"), bare).otherwise(F.concat(F.lit("https://"), bare))
     return F.regexp_replace(F.regexp_replace(whole, r"^(https?://)www\.", "$1"), r"/$", "")
@@ -61,16 +67,26 @@ def url_query(url: Column, key: str) -> Column:
     return filled(F.try_parse_url(url, F.lit("QUERY"), F.lit(key)))
 
 
+def query_value(query: Column, key: str) -> Column:
+    """The value of a key in a URL's query part; null if there is none."""
+    return filled(F.regexp_extract(query, f"(?:^|&){key}=([^&]*)", 1))
+
+
 def page_path(url: Column, hash_mode: Column) -> Column:
     """The path ("/" if there is none), with the fragment where hash mode is on."""
-    path = F.coalesce(filled(url_part(url, "PATH")), F.when(url_part(url, "HOST").isNotNull(), F.lit("/")))
-    fragment = filled(url_part(url, "REF"))
+    return page_of(url_part(url, "HOST"), url_part(url, "PATH"), url_part(url, "REF"), hash_mode)
+
+
+def page_of(host: Column, path: Column, fragment: Column, hash_mode: Column) -> Column:
+    path = F.coalesce(filled(path), F.when(host.isNotNull(), F.lit("/")))
+    fragment = filled(fragment)
     return F.when((hash_mode == 1) & fragment.isNotNull(), F.concat(path, F.lit("#"), fragment)).otherwise(path)
 
 
-def client_address(headers: Column, remote: Column) -> Column:
-    """The first header of ADDRESS_HEADERS that is filled, else the remote address without its port; "-" if invalid."""
-    named = [filled(F.split_part(headers.getItem(h), F.lit(","), F.lit(1))) for h in ADDRESS_HEADERS]
+def client_address(headers: Column, remote: Column, before: tuple[str, ...] = ()) -> Column:
+    """The first filled header of ``before`` and ADDRESS_HEADERS (names in lower case), else the remote address without
+    its port; "-" if invalid."""
+    named = [filled(F.split_part(headers.getItem(h), F.lit(","), F.lit(1))) for h in (*before, *ADDRESS_HEADERS)]
     bare = F.regexp_replace(F.regexp_replace(F.trim(remote), r"^(\d+\.\d+\.\d+\.\d+):\d+$", "$1"), r"^\[(.*)\](?::\d+)?$", "$1")
     found = F.coalesce(*named, filled(bare), F.lit("-"))
     return F.when(found.rlike(_ADDRESS), found).otherwise("-")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalar import address_number, url_part
+from ..functions.scalar import address_number, once, url_part
 
 #: Known referrer hosts and the names shown for them. Fixed values.
 SOURCES = {
@@ -35,6 +35,12 @@ def with_city_id(rows: DataFrame, cities: DataFrame, country_col: str = "country
     return rows.join(small, (F.col(country_col) == F.col("_country")) & (F.col(city_col) == F.col("_city")), "left").drop("_country", "_city")
 
 
+def with_region(rows: DataFrame, names: DataFrame, code_col: str = "subdivision1_code") -> DataFrame:
+    """``rows`` with ``region``, the name of the region code in ``names`` (code, name); the code itself where it is unknown."""
+    out = lookup(rows, names, code_col, "code", {"name": "region"})
+    return out.withColumn("region", F.coalesce("region", code_col))
+
+
 def flag(alpha2: Column) -> Column:
     """The flag of a two-letter country code: its letters as regional indicators."""
     def sign(k: int) -> Column:
@@ -53,24 +59,34 @@ def with_source(rows: DataFrame, referrer_col: str = "referrer", query: dict[str
     """``rows`` with ``source``: the first filled of utm_source, source and ref (the columns named in ``query``), the
     known name of the referrer's host, that host."""
     host = F.regexp_replace(url_part(F.col(referrer_col), "HOST"), r"^www\.", "")
-    out = lookup(rows.withColumn("_host", host), source_names(rows.sparkSession), "_host", "host", {"name": "_name"})
+    out = lookup(once(rows, *rows.columns, host.alias("_host")), source_names(rows.sparkSession), "_host", "host", {"name": "_name"})
     given = [F.nullif(F.trim(c), F.lit("")) for c in (query or {}).values()]
     return out.withColumn("source", F.coalesce(*given, "_name", "_host")).drop("_host", "_name")
 
 
+def disjoint(ranges: DataFrame) -> DataFrame:
+    """Address ranges (low, high, country, subdivision1_code, city), which may lie inside each other, as pieces that do
+    not: (block, low, high, place), each with the place of the narrowest range around it. No piece goes over a /16 block."""
+    spread = ranges.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / 65536), F.floor(F.col("high") / 65536))))
+    first, last = F.greatest("low", F.col("block") * 65536), F.least("high", F.col("block") * 65536 + 65535)
+    spread = spread.select("block", first.alias("from"), last.alias("to"), (F.col("high") - F.col("low")).alias("width"), F.col("low").alias("start"), F.struct("country", "subdivision1_code", "city").alias("place"))
+    edges = spread.select("block", F.col("from").alias("low")).union(spread.select("block", F.col("to") + 1)).distinct()
+    edges = edges.withColumn("high", F.lead("low").over(Window.partitionBy("block").orderBy("low")) - 1).filter("high is not null")
+    inside = edges.join(spread, "block").filter((F.col("from") <= F.col("low")) & (F.col("to") >= F.col("high")))
+    return inside.groupBy("block", "low", "high").agg(F.min_by("place", F.struct("width", "start")).alias("place"))
+
+
 def with_place(rows: DataFrame, ranges: DataFrame, address_col: str = "remote_ip") -> DataFrame:
     """``rows`` with country, subdivision1_code and city of the narrowest range (low, high, country, subdivision1_code,
     city) that holds the address.
 
-    An equi-join on the ranges' /16 blocks with the bounds checked behind it: each range is listed under the blocks it
-    touches, at most 65,536 of them, so no address meets ranges far away.
+    The ranges are cut into disjoint pieces first, so each row meets at most one: one join on the /16 block of the
+    address with the bounds checked behind it, and no shuffle of rows if Spark finds the pieces small enough to send.
     """
-    spread = ranges.withColumn("_block", F.explode(F.sequence(F.floor(F.col("low") / 65536), F.floor(F.col("high") / 65536))))
-    known = rows.select(F.col(address_col).alias("_address")).filter("_address is not null").distinct().withColumn("_ip", address_number(F.col("_address")))
-    met = known.withColumn("_block", F.floor(F.col("_ip") / 65536)).join(spread, "_block").filter("_ip between low and high")
-    best = F.row_number().over(Window.partitionBy("_address").orderBy(F.col("high") - F.col("low"), "low"))
-    met = met.withColumn("_n", best).filter("_n = 1").select("_address", "country", "subdivision1_code", "city")
-    return rows.join(met, F.col(address_col) == F.col("_address"), "left").drop("_address")
+    pieces = disjoint(ranges).select(F.col("block").alias("_block"), F.col("low").alias("_low"), F.col("high").alias("_high"), "place")
+    known = once(rows, *rows.columns, address_number(F.col(address_col)).alias("_ip"))
+    met = known.join(pieces, (F.floor(F.col("_ip") / 65536) == F.col("_block")) & F.col("_ip").between(F.col("_low"), F.col("_high")), "left")
+    return met.select(*rows.columns, "place.country", "place.subdivision1_code", "place.city")
 
 
 def known_sites(hits: DataFrame, sites: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 NAMES = ("visitors", "visits", "pageviews", "views_per_visit", "bounce_rate", "visit_duration", "events")
 TOP = NAMES[:6]
+#: Metrics that plain hits have; the others need visits.
+PLAIN = ("visitors", "pageviews", "events")
 #: What a metric is made of.
 _NEEDS = {
     "visitors": ("visitors",), "visits": ("visits",), "pageviews": ("pageviews",), "events": ("events",),

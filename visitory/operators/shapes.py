@@ -17,12 +17,14 @@ from . import filters, metrics
 
 
 def select(hits: DataFrame, domain: str | None = None, period: periods.Period | None = None, where: list | None = None, mode: str = "exact") -> DataFrame:
-    """The hits of a site in a period that meet all filters."""
+    """The hits of a site in a period that meet all filters. Hits of the store have their ``day``, which prunes files."""
     condition = F.lit(True)
     if domain is not None:
         condition = condition & (F.col("domain") == domain)
     if period is not None:
         condition = condition & periods.within(period, mode=mode)
+        if "day" in hits.columns:
+            condition = condition & F.col("day").between(*[F.lit(t.date()) for t in periods.outer(period)])
     return hits.filter(condition & filters.all_of(where or []))
 
 
@@ -100,15 +102,19 @@ def visitors_24h(hits: DataFrame, now: datetime) -> DataFrame:
     return metrics.measure(hits.filter(periods.within(last)), ["domain"], ["visitors"])
 
 
-def distinct_values(hits: DataFrame, prop: str, prefix: str = "") -> DataFrame:
-    """Values of a property in byte order, as value and label; with ``prefix`` those that begin with it."""
+def distinct_values(hits: DataFrame, prop: str, prefix: str = "", names: DataFrame | None = None) -> DataFrame:
+    """Values of a property in byte order, as value and label; with ``prefix`` those that begin with it. ``names``
+    (value, label) labels values such as country and region codes; the others are their own label."""
     col = F.col(filters.column(prop)).cast("string")
     rows = hits.select(col.alias("value")).filter(F.col("value").isNotNull() & F.col("value").startswith(prefix)).distinct()
-    return rows.select("value", F.col("value").alias("label")).orderBy("value")
+    if names is None:
+        return rows.select("value", F.col("value").alias("label")).orderBy("value")
+    known = names.select("value", "label").dropDuplicates(["value"])
+    return rows.join(known, "value", "left").select("value", F.coalesce("label", "value").alias("label")).orderBy("value")
 
 
-def top_stats(hits: DataFrame, domain: str | None, period: periods.Period, how: str, now: datetime, where: list | None = None, by: list[str | Column] | None = None) -> DataFrame:
-    """The six headline metrics with ``<metric>_change`` against the compared period; one pass over both periods."""
+def top_stats(hits: DataFrame, domain: str | None, period: periods.Period, how: str, now: datetime, where: list | None = None, by: list[str | Column] | None = None, names=metrics.TOP) -> DataFrame:
+    """The metrics ``names`` (the six headline ones) with ``<metric>_change`` against the compared period; one pass over both periods."""
     before = periods.compared(period, how, now)
     rows = hits if domain is None else hits.filter(F.col("domain") == domain)
     is_now, is_before = periods.within(period), periods.within(before)
@@ -116,8 +122,8 @@ def top_stats(hits: DataFrame, domain: str | None, period: periods.Period, how:
     # a hit may fall in both where the periods overlap
     sides = F.filter(F.array(F.when(is_now, F.lit("now")), F.when(is_before, F.lit("before"))), lambda x: x.isNotNull())
     keys = by or []
-    made = metrics.measure(rows.withColumn("side", F.explode(sides)), [*keys, "side"], metrics.TOP)
-    wide = [F.coalesce(F.max(F.when(F.col("side") == s, F.col(m))), F.lit(0.0)).alias(f"{m}_{s}") for m in metrics.TOP for s in ("now", "before")]
+    made = metrics.measure(rows.withColumn("side", F.explode(sides)), [*keys, "side"], names)
+    wide = [F.coalesce(F.max(F.when(F.col("side") == s, F.col(m))), F.lit(0.0)).alias(f"{m}_{s}") for m in names for s in ("now", "before")]
     made = made.groupBy(*keys).agg(*wide)
-    out = [c for m in metrics.TOP for c in (F.col(f"{m}_now").alias(m), metrics.change(m, F.col(f"{m}_now"), F.col(f"{m}_before")).alias(f"{m}_change"))]
+    out = [c for m in names for c in (F.col(f"{m}_now").alias(m), metrics.change(m, F.col(f"{m}_now"), F.col(f"{m}_before")).alias(f"{m}_change"))]
     return made.select(*made.columns[: len(keys)], *out)

@@ -21,14 +21,19 @@ def realtime_visitors(hits: DataFrame, site_id: str, now: datetime) -> DataFrame
 
 
 def aggregate(hits: DataFrame, site_id: str, now: datetime, period: str = "30d", date: str | None = None, interval: str | None = None, filters: str = "[]", metrics: str = "visitors", comparison: str | None = None) -> DataFrame:
-    """One row; with ``comparison`` the six headline metrics and their changes."""
+    """One row; with ``comparison`` each metric is followed by its change."""
     if comparison and period not in ("all", "realtime"):
         bounds = periods.period(period, now, date, interval)
-        return shapes.top_stats(hits, site_id, bounds, comparison, now, _items(filters))
+        return shapes.top_stats(hits, site_id, bounds, comparison, now, _items(filters), names=metrics.split(","))
     rows, _ = _selected(hits, site_id, period, now, date, interval, filters)
     return shapes.aggregate(rows, metrics.split(","))
 
 
+def between(start: str, end: str) -> dict[str, str]:
+    """The arguments of a custom period from one day to another, as in ``aggregate(..., **between(a, b))``."""
+    return {"period": "custom", "date": f"{start},{end}"}
+
+
 def timeseries(hits: DataFrame, site_id: str, now: datetime, period: str = "30d", date: str | None = None, interval: str | None = None, filters: str = "[]", metrics: str = "visitors") -> DataFrame:
     rows, bounds = _selected(hits, site_id, period, now, date, interval, filters)
     return shapes.timeseries(rows, bounds.interval, metrics.split(","))

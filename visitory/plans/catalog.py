@@ -110,8 +110,10 @@ def hits(spark: SparkSession, sf_dir: str, clock: str = "dense") -> DataFrame:
     return tables.hits(spark, sf_dir, clock)
 
 
-def visited(spark: SparkSession, sf_dir: str, clock: str = "dense") -> DataFrame:
-    return visits.visits(hits(spark, sf_dir, clock))
+def visited(spark: SparkSession, sf_dir: str, clock: str = "dense", names: tuple[str, ...] | list[str] = metrics.NAMES) -> DataFrame:
+    """Hits with their part in their visit, or plain hits where the metrics ``names`` need no visits."""
+    rows = hits(spark, sf_dir, clock)
+    return rows if set(names) <= set(metrics.PLAIN) else visits.visits(rows)
 
 
 SITE = "site1.example.com"
@@ -150,7 +152,7 @@ def visit_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Metrics, alone and together
 
 for _m in metrics.NAMES:
-    register(f"agg_{_m}", f"{_with('dense')} {_measured('visits', {'domain': 'domain'}, [_m])}")(lambda s, d, m=_m: metrics.measure(visited(s, d), ["domain"], [m]))
+    register(f"agg_{_m}", f"{_with('dense')} {_measured('visits', {'domain': 'domain'}, [_m])}")(lambda s, d, m=_m: metrics.measure(visited(s, d, names=[m]), ["domain"], [m]))
 register("agg_all", f"{_with('dense')} {_measured('visits', {}, metrics.NAMES)}")(lambda s, d: shapes.aggregate(visited(s, d), metrics.NAMES))
 register("agg_per_site", f"{_with('dense')} {_measured('visits', {'domain': 'domain'}, metrics.NAMES)}")(lambda s, d: metrics.measure(visited(s, d), ["domain"], metrics.NAMES))
 
@@ -165,7 +167,7 @@ for _i in buckets.INTERVALS:
     _label = f"strftime({_BUCKET[_i]}, '{'%Y-%m-%d' if _i in ('week', 'month') else '%Y-%m-%d %H:%M:%S'}')"
     register(f"ts_{_i}", f"{_with(_clock)} {_measured('visits', {'timestamp': _label}, metrics.NAMES)}")(lambda s, d, i=_i, c=_clock: shapes.timeseries(visited(s, d, c), i, metrics.NAMES))
     register(f"main_graph_{_i}", f"{_with(_clock)}, points AS ({_measured('visits', {'timestamp': _label}, ['visitors'], f"domain = '{SITE}'")}) SELECT string_agg(timestamp, '|' ORDER BY timestamp) AS labels, string_agg(CAST(CAST(visitors AS BIGINT) AS VARCHAR), '|' ORDER BY timestamp) AS plot FROM points")(
-        lambda s, d, i=_i, c=_clock: reports.main_graph(visited(s, d, c).filter(F.col("domain") == SITE), i).select(
+        lambda s, d, i=_i, c=_clock: reports.main_graph(hits(s, d, c).filter(F.col("domain") == SITE), i).select(
             F.array_join("labels", "|").alias("labels"), F.array_join(F.transform("plot", lambda x: x.cast("bigint").cast("string")), "|").alias("plot")
         )
     )
@@ -222,7 +224,7 @@ for _prop in ("event", "page", "host", "entry_page", "exit_page", "source", "ref
     register(f"bd_{_prop}", f"{_with('dense')} {_measured('visits', {_prop: _prop}, metrics.NAMES, f'{_prop} IS NOT NULL')}")(lambda s, d, p=_prop: shapes.breakdown(visited(s, d), p, metrics.NAMES))
 for _prop in ("browser", "browser_version", "os", "os_version", "device"):
     register(f"bd_pct_{_prop}", f"{_with('dense')}, g AS ({_measured('visits', {_prop: _prop}, ['visitors'], f'{_prop} IS NOT NULL')}) SELECT {_prop}, visitors, CAST(floor(visitors / sum(visitors) OVER () * 100) AS DOUBLE) AS percentage FROM g")(
-        lambda s, d, p=_prop: shapes.breakdown_share(visited(s, d), p)
+        lambda s, d, p=_prop: shapes.breakdown_share(hits(s, d) if p not in ("host", "entry_page", "exit_page") else visited(s, d), p)
     )
 register("bd_page_limit", f"{_with('dense')}, g AS ({_measured('visits', {'page': 'page'}, ['visitors', 'pageviews'], 'page IS NOT NULL')}) SELECT page, visitors, pageviews FROM g ORDER BY visitors DESC, page LIMIT 5 OFFSET 2")(lambda s, d: shapes.breakdown(visited(s, d), "page", ["visitors", "pageviews"], 5, 2))
 register("exit_pages", f"{_with('dense')}, g AS ({_measured('visits', {'exit_page': 'exit_page'}, ['visitors', 'visits', 'pageviews'], 'exit_page IS NOT NULL')}) SELECT exit_page, visitors, visits, CAST(floor(visits / sum(pageviews) OVER () * 100) AS DOUBLE) AS exit_rate FROM g")(lambda s, d: shapes.exit_pages(visited(s, d)))
@@ -231,9 +233,9 @@ register("exit_pages", f"{_with('dense')}, g AS ({_measured('visits', {'exit_pag
 
 _GOALS = "goals(domain, name, path) AS (SELECT 'site' || k || '.example.com', name, path FROM (VALUES (0), (1), (2)) AS s(k), (VALUES ('signup', NULL), ('purchase', NULL), (NULL, '/p/3')) AS g(name, path))"
 _GOALED = f"{_with('dense')}, {_GOALS}, won AS (SELECT v.domain, coalesce(g.name, 'Visit ' || g.path) AS goal, CAST(count(DISTINCT v.id) AS DOUBLE) AS visitors, CAST(count(*) AS DOUBLE) AS events FROM visits v JOIN goals g ON v.domain = g.domain AND (v.event = g.name OR v.page = g.path) GROUP BY ALL)"
-register("goals", f"{_GOALED} SELECT domain, goal, visitors, events FROM won")(lambda s, d: shapes.goals(visited(s, d), tables.goals(s)))
+register("goals", f"{_GOALED} SELECT domain, goal, visitors, events FROM won")(lambda s, d: shapes.goals(hits(s, d), tables.goals(s)))
 register("conversions", f"{_GOALED} SELECT w.domain, goal, visitors, events, CAST(round(visitors / n * 100) AS DOUBLE) AS conversion_rate FROM won w JOIN (SELECT domain, CAST(count(DISTINCT id) AS DOUBLE) AS n FROM visits GROUP BY domain) a ON a.domain = w.domain")(
-    lambda s, d: shapes.conversions(visited(s, d), tables.goals(s))
+    lambda s, d: shapes.conversions(hits(s, d), tables.goals(s))
 )
 _DETAILS = reports.DETAILS
 register("report_sources", f"{_with('dense')} {_measured('visits', {'source': 'source'}, _DETAILS, 'source IS NOT NULL')}")(lambda s, d: reports.sources(visited(s, d), True))
@@ -243,10 +245,10 @@ register("report_referrers", f"{_with('dense')} {_measured('visits', {'referrer'
 register("report_pages", f"{_with('dense')} {_measured('visits', {'page': 'page'}, ['visitors', 'pageviews', 'bounce_rate'], 'page IS NOT NULL')}")(lambda s, d: reports.pages(visited(s, d), True))
 register("report_entry_pages", f"{_with('dense')} {_measured('visits', {'entry_page': 'entry_page'}, ['visitors', 'visits', 'visit_duration'], 'entry_page IS NOT NULL')}")(lambda s, d: reports.entry_pages(visited(s, d)))
 register("report_countries", f"{_with('dense')}, g AS ({_measured('visits', {'country': 'country'}, ['visitors'], 'country IS NOT NULL')}) SELECT country, visitors, substr(n_name, 1, 3) AS alpha3, n_name AS name FROM g LEFT JOIN nation ON n_name = country")(
-    lambda s, d: reports.countries(visited(s, d), tables.table(s, d, "nation").select(F.col("n_name").alias("country"), F.substring("n_name", 1, 3).alias("alpha3"), F.col("n_name").alias("name")))
+    lambda s, d: reports.countries(hits(s, d), tables.table(s, d, "nation").select(F.col("n_name").alias("country"), F.substring("n_name", 1, 3).alias("alpha3"), F.col("n_name").alias("name")))
 )
 register("report_cities", f"{_with('dense')}, g AS ({_measured('visits', {'city': 'city'}, ['visitors'], 'city IS NOT NULL')}) SELECT city, visitors, coalesce(n_name, 'N/A') AS name FROM g LEFT JOIN nation ON n_nationkey = city")(
-    lambda s, d: reports.cities(visited(s, d), tables.table(s, d, "nation").select(F.col("n_nationkey").alias("city"), F.col("n_name").alias("name")))
+    lambda s, d: reports.cities(hits(s, d), tables.table(s, d, "nation").select(F.col("n_nationkey").alias("city"), F.col("n_name").alias("name")))
 )
 register("report_seen_first", f"{_with('dense', False)} SELECT s.domain, h.domain IS NOT NULL AS seen FROM (SELECT 'site' || n_nationkey || '.example.com' AS domain FROM nation) s LEFT JOIN (SELECT DISTINCT domain FROM hits) h ON h.domain = s.domain")(
     lambda s, d: reports.seen_first(hits(s, d), tables.table(s, d, "nation").select(F.concat(F.lit("site"), F.col("n_nationkey").cast("string"), F.lit(".example.com")).alias("domain")))
@@ -254,10 +256,26 @@ register("report_seen_first", f"{_with('dense', False)} SELECT s.domain, h.domai
 for _prop in ("page", "country", "source"):
     register(f"suggest_{_prop}", f"{_with('dense', False)} SELECT DISTINCT {_prop} AS value, {_prop} AS label FROM hits WHERE {_prop} IS NOT NULL AND domain = '{SITE}'")(lambda s, d, p=_prop: shapes.distinct_values(hits(s, d).filter(F.col("domain") == SITE), p))
 register("suggest_prefix", f"{_with('dense', False)} SELECT DISTINCT page AS value, page AS label FROM hits WHERE page LIKE '/p/1%' AND domain = '{SITE}'")(lambda s, d: shapes.distinct_values(hits(s, d).filter(F.col("domain") == SITE), "page", "/p/1"))
+_FLAG = "chr(127397 + ascii(substr({c}, 1, 1))) || chr(127397 + ascii(substr({c}, 2, 1)))"
+register("report_regions", f"{_with('dense')}, g AS ({_measured('visits', {'subdivision1_code': 'subdivision1_code'}, ['visitors'], 'subdivision1_code IS NOT NULL')}) SELECT subdivision1_code, visitors, 'Region ' || r_regionkey AS name, substr(r_name, 1, 2) AS country, {_FLAG.format(c='substr(r_name, 1, 2)')} AS flag FROM g LEFT JOIN region ON r_name = subdivision1_code")(
+    lambda s, d: reports.regions(hits(s, d), tables.table(s, d, "region").select(F.col("r_name").alias("code"), F.concat(F.lit("Region "), F.col("r_regionkey").cast("string")).alias("name"), F.substring("r_name", 1, 2).alias("country")))
+)
+register("report_country_flags", f"{_with('dense')}, g AS ({_measured('visits', {'country': 'country'}, ['visitors'], 'country IS NOT NULL')}) SELECT country, visitors, substr(n_name, 1, 3) AS alpha3, n_name AS name, {_FLAG.format(c='substr(n_name, 1, 2)')} AS flag FROM g LEFT JOIN nation ON n_name = country")(
+    lambda s, d: reports.countries(hits(s, d), tables.table(s, d, "nation").select(F.col("n_name").alias("country"), F.substring("n_name", 1, 3).alias("alpha3"), F.substring("n_name", 1, 2).alias("alpha2"), F.col("n_name").alias("name")))
+)
+register("region_names", "SELECT n_nationkey, 'Region ' || r_regionkey AS region FROM nation JOIN region ON n_regionkey = r_regionkey")(
+    lambda s, d: lookups.with_region(
+        tables.table(s, d, "nation").join(tables.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("subdivision1_code")),
+        tables.table(s, d, "region").select(F.col("r_name").alias("code"), F.concat(F.lit("Region "), F.col("r_regionkey").cast("string")).alias("name")),
+    ).select("n_nationkey", "region")
+)
+register("suggest_region_names", f"{_with('dense', False)} SELECT DISTINCT subdivision1_code AS value, 'Region ' || r_regionkey AS label FROM hits LEFT JOIN region ON r_name = subdivision1_code WHERE subdivision1_code IS NOT NULL AND domain = '{SITE}'")(
+    lambda s, d: shapes.distinct_values(hits(s, d).filter(F.col("domain") == SITE), "subdivision1_code", names=tables.table(s, d, "region").select(F.col("r_name").alias("value"), F.concat(F.lit("Region "), F.col("r_regionkey").cast("string")).alias("label")))
+)
 _five = periods.Period(datetime(2024, 1, 1, 11, 55), NOW_DENSE, "minute")
-register("realtime", f"{_with('dense')} {_measured('visits', {'domain': 'domain'}, ['visitors'], _bounds(_five))}")(lambda s, d: shapes.realtime(visited(s, d), NOW_DENSE))
+register("realtime", f"{_with('dense')} {_measured('visits', {'domain': 'domain'}, ['visitors'], _bounds(_five))}")(lambda s, d: shapes.realtime(hits(s, d), NOW_DENSE))
 _day = periods.Period(datetime(2024, 1, 14), NOW_RAW, "hour")
-register("visitors_24h", f"{_with('raw')} {_measured('visits', {'domain': 'domain'}, ['visitors'], _bounds(_day))}")(lambda s, d: shapes.visitors_24h(visited(s, d, "raw"), NOW_RAW))
+register("visitors_24h", f"{_with('raw')} {_measured('visits', {'domain': 'domain'}, ['visitors'], _bounds(_day))}")(lambda s, d: shapes.visitors_24h(hits(s, d, "raw"), NOW_RAW))
 
 
 def _changes(period: periods.Period, how: str) -> str:

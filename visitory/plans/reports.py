@@ -35,10 +35,20 @@ def entry_pages(hits: DataFrame) -> DataFrame:
 
 
 def countries(hits: DataFrame, names: DataFrame) -> DataFrame:
-    """Visitors by country with what ``names`` (country, alpha3, name) knows of it; the code itself where it knows nothing."""
+    """Visitors by country with what ``names`` (country, alpha3, name) knows of it; the code itself where it knows nothing.
+    With two-letter codes (alpha2) in ``names`` also the flag."""
     made = shapes.breakdown(hits, "country")
-    out = lookups.lookup(made, names, "country", "country", {"alpha3": "alpha3", "name": "name"})
-    return out.withColumn("name", F.coalesce("name", "country"))
+    flagged = "alpha2" in names.columns
+    out = lookups.lookup(made, names, "country", "country", {"alpha3": "alpha3", "name": "name"} | ({"alpha2": "flag"} if flagged else {}))
+    out = out.withColumn("name", F.coalesce("name", "country"))
+    return out.withColumn("flag", lookups.flag(F.col("flag"))) if flagged else out
+
+
+def regions(hits: DataFrame, names: DataFrame) -> DataFrame:
+    """Visitors by region with its name, country and flag from ``names`` (code, name, and the country's two letters as
+    country); the code itself where there is no name."""
+    out = lookups.lookup(shapes.breakdown(hits, "subdivision1_code"), names, "subdivision1_code", "code", {"name": "name", "country": "country"})
+    return out.withColumns({"name": F.coalesce("name", "subdivision1_code"), "flag": lookups.flag(F.col("country"))})
 
 
 def cities(hits: DataFrame, names: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 PAYLOAD = (
     "n string, name string, u string, url string, d string, domain string, r string, referrer string, h int, hashMode int, "
     "m map<string,string>, meta map<string,string>, p map<string,string>, props map<string,string>, ts bigint, "
-    "remote_ip string, user_agent string, received_at timestamp_ntz"
+    "remote_ip string, user_agent string, headers map<string,string>, received_at timestamp_ntz"
 )
 
 #: A hit after enrichment. ``seq`` orders hits of one instant.

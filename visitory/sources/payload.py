@@ -1,5 +1,5 @@
-"""Hits from tracker payloads: JSON, validation, enrichment. Row by row but for broadcast-sized joins, so it runs the same
-on a batch and on a stream."""
+"""Hits from tracker payloads: JSON, validation, enrichment. Row by row but for joins with tables at rest (sites, address
+ranges, source names), so it runs the same on a batch and on a stream."""
 
 from __future__ import annotations
 
@@ -18,27 +18,43 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAYLOAD).json(path)
 
 
+def stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """The same as a stream of the files that arrive in a folder."""
+    return spark.readStream.schema(PAYLOAD).options(**options).json(path)
+
+
 def from_text(rows: DataFrame, column: str) -> DataFrame:
     """Payloads in a text column."""
-    return rows.select(F.from_json(F.col(column), PAYLOAD).alias("p")).select("p.*")
+    return rows.select(F.inline(F.array(F.from_json(F.col(column), PAYLOAD))))
 
 
 def parsed(raw: DataFrame) -> DataFrame:
-    """Payloads with short and long names brought together: name, url, domain, referrer, ts, host, page, query parts."""
+    """Payloads with short and long names brought together: name, url, domain, referrer, ts, host, page, query parts.
+    The client's address is taken from ``headers`` where they name it. Custom properties and revenue are not stored."""
     url = scalar.first_filled(F.col("u"), F.col("url"))
-    rows = raw.select(
+    rows = scalar.once(
+        raw,
         scalar.first_filled(F.col("n"), F.col("name")).alias("name"),
         url.alias("url"),
         scalar.first_domain(scalar.first_filled(F.col("d"), F.col("domain"))).alias("domain"),
         scalar.clean_referrer(scalar.first_filled(F.col("r"), F.col("referrer"))).alias("referrer"),
         F.coalesce("h", "hashMode").alias("hash_mode"),
         F.coalesce(F.timestamp_seconds(F.floor(F.col("ts") / 1000)).cast("timestamp_ntz"), F.col("received_at")).alias("ts"),
-        "remote_ip",
+        scalar.client_address(F.col("headers"), F.col("remote_ip")).alias("remote_ip"),
         "user_agent",
     )
-    query = {k: scalar.url_query(F.col("url"), k) for k in ("utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "source", "ref")}
-    rows = rows.withColumns({"full_host": scalar.url_part(F.col("url"), "HOST"), "page": scalar.page_path(F.col("url"), F.col("hash_mode")), **{f"q_{k}": v for k, v in query.items()}})
-    return rows.withColumn("host", scalar.clean_host(F.col("full_host")))
+    parts = {"full_host": "HOST", "_path": "PATH", "_fragment": "REF", "_query": "QUERY"}
+    names = rows.columns
+    rows = scalar.once(rows, *names, *[scalar.url_part(F.col("url"), part).alias(c) for c, part in parts.items()])
+    query = {k: scalar.query_value(F.col("_query"), k) for k in ("utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "source", "ref")}
+    return scalar.once(
+        rows,
+        *names,
+        "full_host",
+        scalar.page_of(F.col("full_host"), F.col("_path"), F.col("_fragment"), F.col("hash_mode")).alias("page"),
+        *[v.alias(f"q_{k}") for k, v in query.items()],
+        scalar.clean_host(F.col("full_host")).alias("host"),
+    )
 
 
 def fault(rows: DataFrame) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.visits import WINDOW_US
@@ -47,14 +48,17 @@ def visits(hits: DataFrame) -> DataFrame:
     return columns.groupBy("domain", "id").applyInPandasWithState(_fold, RESULT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def sink(stream: DataFrame, path: str, checkpoint: str, every: str = "1 second"):
-    """Starts appending a stream to the hit store; a lost batch is written again from the checkpoint."""
-    return stream.writeStream.foreachBatch(lambda rows, _: store.write(rows, path)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+def sink(stream: DataFrame, path: str, checkpoint: str, every: str | None = "1 second"):
+    """Starts adding a stream to the hit store. Each batch has a folder named by its number, which a batch that is run
+    again after a failure replaces, so nothing is stored twice. Without ``every`` it ends once all that is there has been stored."""
+
+    def put(rows: DataFrame, batch: int) -> None:
+        store.write(rows, f"{path}/batch={batch}", "overwrite")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
 
 
 def counts(hits: DataFrame, interval: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Views and approximate visitors of each site and window, for hits at most ``late`` behind."""
-    from pyspark.sql import functions as F
-
     timed = hits.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
     return timed.groupBy("domain", F.window("at", interval)).agg(F.count_if("view").alias("pageviews"), F.approx_count_distinct("id").alias("visitors"))
