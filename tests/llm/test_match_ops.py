@@ -3,6 +3,8 @@
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -180,31 +182,114 @@ def test_scores(spark):
     assert alone and all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in alone)
 
 
+def test_scores_follow_order_and_not_partitions(spark):
+    rnd = random.Random(11)
+    words = [f"w{k}" for k in range(8)]
+    texts = [" ".join(f"{w} {w}x" for w in rnd.choices(words, k=30)) for _ in range(120)]
+    own = texts[3].split()
+    rows = [(k, t, "en") for k, t in enumerate(texts)] + [(500, " ".join(own), "en"), (501, " ".join(sorted(own)), "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one = {r.doc_id: r.score for r in mixing.scores(docs.repartition(1)).collect()}
+    many = {r.doc_id: r.score for r in mixing.scores(docs.repartition(5)).collect()}
+    assert all(math.isclose(one[k], many[k], rel_tol=1e-9) for k in one)
+    assert one[500] > one[501] + 1
+
+
+def _small_block(texts, spelled=-20.0, follows=()):
+    import xxhash
+
+    words, seqs = {}, []
+    for t in texts:
+        seqs.append([words.setdefault(w, len(words)) for w in [*t.encode().split(), b""]])
+    place = np.array([p for q in seqs for p in q])
+    c = np.bincount(place, minlength=len(words)).astype(np.int64)
+    h = np.array([xxhash.xxh3_64_intdigest(w) >> 32 for w in words], np.uint32)
+    g = np.arange(len(words)) % 2
+    held = {}
+    for k, x, n in zip(mixing.bit_length(c).tolist(), g.tolist(), c.tolist(), strict=True):
+        w, t = held.get((k, x), (0, 0))
+        held[k, x] = (w + 1, t + n)
+    code = mixing.Code(2, held)
+    block = mixing.Block(code, place, np.array([len(q) for q in seqs]), np.zeros(len(seqs), bool), np.arange(len(seqs)).astype(np.uint64), c, g, h, np.ones(len(words)), np.full(len(words), spelled), np.array(follows, np.int64).reshape(-1, 5))
+    return code, block, c, g
+
+
+def test_code_is_a_prefix_code():
+    code = _small_block(["a b b c c c d d d d e", "a a a b f g h"])[0]
+    paths = ["".join(map(str, code.turns[f : f + n])) for f, n in zip(code.first, code.depth, strict=True)]
+    assert math.isclose(sum(2.0 ** -len(x) for x in paths), 1.0)
+    assert not any(a != b and b.startswith(a) for a in paths for b in paths)
+
+
+def test_bits_equal_a_plain_walk():
+    """The bits and their probabilities, token by token in plain Python, from the same tables."""
+    rnd = random.Random(4)
+    code, block, c, g = _small_block([" ".join(rnd.choices("abcdefgh", k=90)), "", "z y z", "a b a b a"])
+    sizes = (10, 10, 10, 10)
+    table = mixing._small(np.random.default_rng(3).integers(0, 9, (4 << 10, 2)).astype(np.float32))
+    mixer = mixing.Mixer(table, sizes, np.random.default_rng(4).uniform(0, 0.6, (4, 4, mixing.LEVELS)))
+    got = mixer.scores(block)
+    start = 0
+    for d, size in enumerate(block.sizes):
+        total, ones, seen = 0.0, Counter(), Counter()
+        events = []
+        for a, b in block.batches():
+            token, kind, bit, name = block.events(a, b)
+            slots = list(block.slots(token, name, sizes))
+            events += [(int(t), int(k), int(x), [int(s[i]) for s in slots]) for i, (t, k, x) in enumerate(zip(token, kind, bit, strict=True)) if start <= t < start + size]
+        waiting, at = [], -1
+        for t, k, x, slot in sorted(events, key=lambda e: e[0]):
+            pos = int(t - start)
+            part = (pos >> 6).bit_length()
+            if part != at:
+                for cell, hit in waiting:
+                    seen[cell] += 1
+                    ones[cell] += hit
+                waiting, at = [], part
+            dot = 0.0
+            for j, s in enumerate(slot):
+                n0, n1 = int(table[s]) & 4095, int(table[s]) >> 12
+                dot += mixer.weights[k, j, min(int(math.log2(n0 + n1 + 1)), mixing.LEVELS - 1)] * (math.log(n1 + 0.02) - math.log(n0 + 0.02))
+            dot = min(12.0, max(-12.0, dot))
+            cell = (k, round(dot * 2))
+            p = (1 / (1 + math.exp(-dot)) + (mixing.PRIOR * mixer.refined[k, cell[1] + mixing.STEPS // 2] + ones[cell]) / (mixing.PRIOR + seen[cell])) / 2
+            total += math.log(p if x else 1 - p)
+            waiting.append((cell, x))
+        assert math.isclose(got[d], total, rel_tol=1e-4, abs_tol=1e-4)
+        start += size
+
+
+def test_passages_cost_one_bit():
+    block = _small_block(["a b c d e f g h i j", "a b c d e f g h i j"], follows=[(1, 8, 3, 2, 4)])[1]
+    assert block.covered.tolist() == [False] * 11 + [False] * 8 + [True] * 3
+    token, kind, bit, _ = block.events(0, 22)
+    assert [(int(t), int(x)) for t, k, x in zip(token, kind, bit, strict=True) if k == mixing.FOLLOW] == [(19, 1)]
+    assert not set(token[kind != mixing.FOLLOW].tolist()) & {19, 20, 21}
+
+
 def test_spelling_is_a_probability():
-    model = mixing.Model(np.zeros(mixing._BASE[-1]), np.zeros(mixing._BASE[-1]))
+    model = mixing.Speller(mixing._small(np.random.default_rng(1).integers(0, 5, (mixing._BASE[-1], 2)).astype(np.float32)))
     for _ in range(3):
         model.learn([b"abc", b"abd", b"b", b""])
-    firsts = [bytes([k]) for k in range(256)]
     # all first bytes together: each bit splits what is left
-    bits = [mixing._Bits([f]) for f in firsts]
     total = 0.0
-    for b in bits:
+    for first in range(256):
         p = 1.0
-        for bit, slots in b.each():
-            odds, gates = model._inputs(bit[:1], [s[:1] for s in slots], np.zeros(1, np.float32))
+        for bit, slots in mixing._Bits([bytes([first])]).each():
+            odds, gates = model._inputs(bit[:1], [s[:1] for s in slots], np.zeros(1, np.int64))
             dot = sum(model.weights[k][g] * o for k, (o, g) in enumerate(zip(odds, gates, strict=True)))
             one = 1 / (1 + math.exp(-float(dot[0])))
             p *= one if bit[0] else 1 - one
         total += p
-    assert abs(total - 1) < 1e-9
-
-
-def test_adaptation_is_a_probability():
-    # all documents of two tokens over three words
-    ln_p = np.log([0.5, 0.3, 0.2])
-    total = 0.0
-    for a in range(3):
-        for b in range(3):
-            words = sorted({a, b})
-            total += math.exp(mixing.adapted(ln_p[words], np.array([[a, b].count(w) for w in words]), np.array([0]))[0])
-    assert abs(total - 1) < 1e-9
+    assert abs(total - 1) < 1e-6
+
+
+def test_long_words_take_bounded_memory():
+    code = (
+        "import resource, numpy as np\nfrom visitory.llm import mixing\n"
+        "word = np.random.default_rng(1).integers(97, 123, 10_000_000).astype(np.uint8).tobytes()\n"
+        "model = mixing.Speller(mixing._small(np.zeros((mixing._BASE[-1], 2), np.float32)))\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\nmodel.spell([word], np.zeros(1))\n"
+        "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)"
+    )
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=240).stdout) < 500
