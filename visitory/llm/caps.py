@@ -20,6 +20,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,8 +94,9 @@ class Filters:
         return out
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=np.float64)
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one length, without nulls, as rows."""
+    return np.asarray(pc.list_flatten(column), dtype=np.float64).reshape(len(column), -1)
 
 
 def units(vectors: np.ndarray) -> np.ndarray:
@@ -107,16 +109,15 @@ def _bucket(table: pa.Table, least: float) -> pa.RecordBatch | None:
     if (chunk == chunk[0]).all() and table["i"][0].as_py() != table["j"][0].as_py():
         return None
     node, copies, here = table["node"].to_numpy(), table["copies"].to_numpy(), table["filter"][0].as_py()
-    unit = units(_matrix(table["vector"]))
+    unit = units(matrix(table["vector"]))
     linked = unit @ unit.T >= least
     np.fill_diagonal(linked, False)
     if (chunk != chunk[0]).any():
         linked &= chunk[:, None] != chunk[None, :]
     if linked.any():
         # leave what an earlier filter has counted
-        lists = [np.array(x, np.int64) for x in table["filters"].to_pylist()]
-        size = np.array([len(x) for x in lists])
-        flat, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), size)
+        size = np.asarray(pc.list_value_length(table["filters"]))
+        flat, owner = np.asarray(pc.list_flatten(table["filters"])), np.repeat(np.arange(len(size)), size)
         before = flat < here
         if before.any():
             names, column = np.unique(flat[before], return_inverse=True)
@@ -152,12 +153,12 @@ def near_vectors(rows: DataFrame, least: float = 0.95, id_col: str = "vec_id", v
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters: dict[int, Filters] = {}
         for b in slices(batches, "vector", 1 << 19):
-            lengths = np.array([len(v) for v in b.column("vector")])
+            lengths = np.asarray(pc.list_value_length(b.column("vector")))
             for dims in np.unique(lengths).tolist():
                 at = np.flatnonzero(lengths == dims)
                 part = b.take(pa.array(at))
                 filters.setdefault(dims, Filters(dims, counts[dims]))
-                lists = filters[dims].listed(units(_matrix(part.column("vector"))))
+                lists = filters[dims].listed(units(matrix(part.column("vector"))))
                 size = [len(x) for x in lists]
                 yield pa.RecordBatch.from_pydict({"node": np.repeat(part.column("node").to_numpy(), size), "dims": np.full(sum(size), dims, np.int32), "filter": np.concatenate(lists)})
 
