@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .caps import units, usable
+from .caps import matrix, units, usable
 from .common import grouped, written
 
 PROJECTIONS, NEEDED = 64, 34
@@ -89,7 +89,7 @@ def _meet(table: pa.Table, k: int) -> pa.RecordBatch | None:
     ids = table["id"].to_numpy()
     if asked.all() or not asked.any():
         return None
-    vectors = np.array(table["vector"].to_pylist(), dtype=np.float64)
+    vectors = matrix(table["vector"])
     rows, queries = vectors[~asked], vectors[asked]
     row_ids, query_ids = ids[~asked], ids[asked]
     unit = units(rows)
