@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, caps, html, jaccard, langid, lines, mixing, packing, secrets
+from . import ann, bpe, caps, html, jaccard, langid, lines, mixing, packing, secrets, sharding
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -57,9 +57,14 @@ def op10_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of even row counts, in a uniformly random order."""
+    return sharding.assignments(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe, op2_jaccard, op3_pack, op4_mixing, op5_secrets, op6_ann, op7_langid, op8_lines, op9_html, op10_caps)
+    for f in (op1_bpe, op2_jaccard, op3_pack, op4_mixing, op5_secrets, op6_ann, op7_langid, op8_lines, op9_html, op10_caps, op13_sharding)
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_lines": lines.ORACLE_SQL}
