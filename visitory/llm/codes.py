@@ -312,7 +312,8 @@ def compress(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         return rows.sparkSession.createDataFrame([], f"vec_id {kind}, label string, code string, error long"), np.zeros((PARTS, 0, 0), dtype=np.int64)
     length = usual["n"]
     kept = kept.filter(F.size("vector") == length)
-    first = kept.filter("vec_id is not null").groupBy("vec_id").agg(F.min("vector").alias("vector")).orderBy("vec_id").limit(ENTRIES).collect()
+    ids = [r[0] for r in kept.filter("vec_id is not null").select("vec_id").distinct().orderBy("vec_id").limit(ENTRIES).collect()]
+    first = kept.filter(F.col("vec_id").isin(ids)).groupBy("vec_id").agg(F.min("vector").alias("vector")).orderBy("vec_id").limit(ENTRIES).collect()
     first = first or kept.orderBy("vector").limit(ENTRIES).collect()
     starts = _matrix(pa.array([v for r in first for v in r["vector"]], pa.float64()), len(first), length)
     books = np.ascontiguousarray(starts.reshape(len(first), PARTS, -1).transpose(1, 0, 2))
