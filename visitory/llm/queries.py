@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, caps, codes, html, jaccard, langid, lines, mixing, packing, secrets, sharding
+from . import ann, bpe, caps, codes, html, jaccard, langid, lexical, lines, mixing, packing, secrets, sharding
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -57,6 +57,11 @@ def op10_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return lexical.best(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The codes of all vectors under codebooks that six rounds have refined."""
     return codes.coded(_table(spark, sf_dir, "embeddings"))
@@ -69,7 +74,7 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe, op2_jaccard, op3_pack, op4_mixing, op5_secrets, op6_ann, op7_langid, op8_lines, op9_html, op10_caps, op12_codes, op13_sharding)
+    for f in (op1_bpe, op2_jaccard, op3_pack, op4_mixing, op5_secrets, op6_ann, op7_langid, op8_lines, op9_html, op10_caps, op11_search, op12_codes, op13_sharding)
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_lines": lines.ORACLE_SQL, "op12_codes": codes.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_lines": lines.ORACLE_SQL, "op11_search": lexical.ORACLE_SQL, "op12_codes": codes.ORACLE_SQL}
