@@ -6,7 +6,8 @@ a visit, whatever came before, so pauses cut a visitor's hits into stretches tha
 1. The distinct instants are gathered by (site, visitor, hour), so a visitor with very many hits is spread over the
    hours. Inside an hour the pauses are seen directly; a small row for each hour carries the last instant and the open
    stretch over to the next hour.
-2. A stretch shorter than the window is one visit. Longer ones are folded over their distinct instants.
+2. A stretch shorter than the window is one visit. Longer ones are folded over their distinct instants, or, where they
+   have very many, found by pointers (:mod:`.pointers`) that spread over all tasks.
 3. Hits take the start of their visit, and windows over the visit give first hit, second hit and the time since the
    last hit.
 """
@@ -17,6 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources import work
+from . import pointers
+
 WINDOW_US = 15 * 60 * 1_000_000
 KEY = ["domain", "id"]
 
@@ -25,9 +29,12 @@ def _micros(ts: str | Column) -> Column:
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
 
 
-def visit_starts(hits: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
+def visit_starts(hits: DataFrame, window_us: int = WINDOW_US, most: int | None = None) -> DataFrame:
     """``hits`` (domain, id, seq, ts and any others) with ``visit_start``, the instant in microseconds.
 
+    Stretches of more than ``most`` instants are worked out by pointers; whether there are any takes a job of its own.
+    Without ``most`` all stretches are folded and nothing runs before the result is asked for.
+
     The starts are worked out on (site, visitor, instant) alone and joined to the hits at the end, so the hits' other
     columns move only then. Hits without a site, visitor or time are left out.
     """
@@ -45,7 +52,15 @@ def visit_starts(hits: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
     ends = ends.select(*KEY, "_hour", "_opens", carried.alias("_carried"))
     instants = hours.join(ends, [*KEY, "_hour"]).select(*KEY, F.explode("_all").alias("_us"), "_opens", "_carried")
     stretch = F.coalesce(F.array_max(F.filter("_opens", lambda s: s <= F.col("_us"))), "_carried")
-    stretches = instants.groupBy(*KEY, stretch.alias("_stretch")).agg(F.array_sort(F.collect_list("_us")).alias("_all"))
+    instants = instants.select(*KEY, "_us", stretch.alias("_stretch"))
+    long = None
+    if most is not None:
+        instants = work.written(instants, "instants")
+        many = work.written(instants.groupBy(*KEY, "_stretch").count().filter(F.col("count") > most).select(*KEY, "_stretch"), "long-stretches")
+        if many.limit(1).count():
+            long = pointers.placed(work.written(instants.join(many, [*KEY, "_stretch"], "left_semi"), "long-instants"), window_us)
+            instants = instants.join(many, [*KEY, "_stretch"], "left_anti")
+    stretches = instants.groupBy(*KEY, "_stretch").agg(F.array_sort(F.collect_list("_us")).alias("_all"))
 
     def step(starts: Column, us: Column) -> Column:
         return F.when(us - F.element_at(starts, -1) >= window_us, F.concat(starts, F.array(us))).otherwise(starts)
@@ -53,19 +68,20 @@ def visit_starts(hits: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
     starts = F.when(F.element_at("_all", -1) - F.col("_stretch") < window_us, F.array("_stretch")).otherwise(F.aggregate("_all", F.array("_stretch"), step))
     placed = stretches.select(*KEY, starts.alias("_starts"), F.explode("_all").alias("_us"))
     placed = placed.select(*KEY, "_us", F.array_max(F.filter("_starts", lambda s: s <= F.col("_us"))).alias("visit_start"))
+    placed = placed if long is None else placed.unionByName(long)
     return at.join(placed, [*KEY, "_us"])
 
 
-def visits(hits: DataFrame, window_us: int = WINDOW_US, compat: bool = False) -> DataFrame:
+def visits(hits: DataFrame, window_us: int = WINDOW_US, compat: bool = False, most: int | None = None) -> DataFrame:
     """Every hit with what it adds to its visit:
 
     session (true on the first hit), bounce (1, then -1 on the second hit, then 0), duration (microseconds since the
     visit's last hit), entry_page, exit_page and host (null for events). ``true_exit_page`` is the page of the visit's
     last view. Figures of any group of hits are sums over its rows; they are never joined from the visit.
 
-    With ``compat`` a visit that follows another of the same visitor takes no entry and exit page from its first hit.
+    For ``most`` see :func:`visit_starts`. With ``compat`` a visit that follows another of the same visitor takes no entry and exit page from its first hit.
     """
-    rows = visit_starts(hits, window_us)
+    rows = visit_starts(hits, window_us, most)
     visit = Window.partitionBy(*KEY, "visit_start")
     order = visit.orderBy("_us", "seq")
     number = F.row_number().over(order)
