@@ -195,6 +195,25 @@ def test_scores_follow_order_and_not_partitions(spark):
     assert one[500] > one[501] + 1
 
 
+def test_held_out_texts_do_not_change_the_model(spark):
+    """Words of one training document that also stand in held-out ones, which other blocks hold, are learned once."""
+    rnd = random.Random(12)
+
+    def rare(k):
+        return "".join(rnd.choices("abcdefghij", k=6)) + str(k)
+
+    own = [rare(k) for k in range(150)]
+    rows = [(k, " ".join([own[k % 150], *rnd.choices(own, k=6), *(f"w{rnd.randrange(9)}" for _ in range(20))]), "en") for k in range(400)]
+    rows = [(k, t if zlib.crc32(str(k).encode()) % 5 == 1 else " ".join([own[k % 150] if k < 150 else "w1", *t.split()[7:]]), "en") for k, t, _ in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, six, many = ({r.doc_id: r.score for r in mixing.scores(docs.repartition(n)).collect()} for n in (1, 6, 17))
+    assert all(math.isclose(one[k], six[k], rel_tol=1e-9) and math.isclose(one[k], many[k], rel_tol=1e-9) for k in one)
+    # and scores of training documents stay when held-out ones go
+    train = docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1")
+    alone = {r.doc_id: r.score for r in mixing.scores(train).collect()}
+    assert len(alone) < len(one) and all(math.isclose(one[k], alone[k], rel_tol=1e-9) for k in alone)
+
+
 def _small_block(texts, spelled=-20.0, follows=()):
     import xxhash
 
