@@ -383,3 +383,35 @@ def test_pages(spark):
     assert [r.text for r in got] == [want, "", "", "plain text only", "", "deep text, long enough to be found here, in the middle.", want, want]
     assert all(r.n_chars == len(r.text) for r in got)
     assert html.main_text(made.limit(0)).count() == 0
+
+
+def test_pages_without_an_article_and_comments_inside_one():
+    line = "This is the running text of the story, with commas, and it is long enough, as stories are, to be scored by the method."
+    said = "<p>Great story, thank you, I liked it, very much indeed, all of it.</p>"
+    text, two = f"<p>{line}</p>", f"{line} {line}"
+    empty = [
+        "<ul><li><a href=/>Home</a><li><a href=/a>About</a></ul>",
+        "<div class='cookie-notice'><p>We use cookies, to make this site better, and so on, please accept them all.</p></div>",
+        f"<div class=comments>{said}{said}</div>",
+        f"<section class='post-responses'>{said}{said}</section>",
+        f"<h2>2 Comments</h2><ul><li>{said}</li><li>{said}</li></ul>",
+    ]
+    for body in empty:
+        assert html.extract(f"<body>{body}</body>") == ""
+    comments = [
+        f"<section class='responses'>{said}</section>",
+        f"<div class='discussion-thread'>{said}</div>",
+        f"<h3>3 Comments</h3><ul><li><b>Ann</b> {said}</li><li>Bob {said}</li></ul>",
+        f"<h3>Join the discussion</h3><div>Ann{said}</div><div>Bob{said}</div>",
+        f"<section><div class=x><div>Ann, 2 hours ago</div>{said}</div><div class=x><div>Bob wrote:</div>{said}</div></section>",
+    ]
+    for more in comments:
+        assert html.extract(f"<body><article>{text}{text}{more}</article></body>") == two
+        assert html.extract(f"<body><div>{text}{text}{more}</div></body>") == two
+    # what only looks like comments stays
+    assert html.extract(f"<body><article><section><h2>Results</h2>{text}</section><section id=discussion><h2>Discussion</h2>{text}{text}</section></article></body>") == f"Results {line} Discussion {two}"
+    assert html.extract(f"<body><div class='ad-free content'>{text}{text}</div></body>") == two
+    assert html.extract("<body><div>Short note.</div></body>") == "Short note."
+    # a story in two articles, beside one of another kind
+    assert html.extract(f"<body><main><article>{text}</article><article>{text}</article></main></body>") == two
+    assert html.extract(f"<body><div><article>{text}{text}</article><article class=teaser><p>Other</p></article></div></body>") == two

@@ -43,12 +43,14 @@ _ENDS = {
 #: Words in class, id or role that mark what is no part of an article.
 _UNLIKELY = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookies?\w*|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription"
-    r"|comments?|commentlist|disqus|replies|respond|nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|side-bar|aside|complementary|contentinfo|footer|foot|masthead|topbar|toolbar|header|site-header"
+    r"|comments?|commentlist|comment-?(?:lists?|threads?|sections?|areas?|box|form|body|feed|stream|item)|disqus|replies|respond|responses|reactions|discussions|discussion-?(?:thread|list|area|board)|(?:reader|user)-?comments?|nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|side-bar|aside|complementary|contentinfo|footer|foot|masthead|topbar|toolbar|header|site-header"
     r"|page-header|share|sharing|social|related|recommended|recommendations|widget|pager|pagination|search|login|signup|sign-up|skip-link|copyright|disclaimer|legal|tags?|taboola|outbrain)(?:$|[\s_-])",
     re.I,
 )
-#: Those of them that say so plainly; the others may as well stand on a container that holds the article.
-_PLAIN = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|cookies?\w*|consent|gdpr|comments?|commentlist|disqus|replies|respond|taboola|outbrain)(?:$|[\s_-])", re.I)
+#: Those of them that say so plainly, where a class or id has no other words than these and those that may go along; with
+#: others ("cookies-recipe") they may as well stand on a container that holds the article.
+_PLAIN = re.compile(r"ads?|advert\w*|adsense|adbox|sponsor\w*|cookies?|consent|gdpr|comments?|commentlist|disqus|replies|respond|responses|reactions|discussions?|taboola|outbrain", re.I)
+_ALONG = re.compile(r"notices?|banners?|bars?|pop-?up|modal|overlay|message|alert|lists?|threads?|sections?|area|box|board|form|feed|stream|items?|slots?|units?|container|wrapper|wrap|inner|block|the|post|article|page|user|reader|top|bottom|left|right|native|content|\d+|", re.I)
 #: Layout words of a container: "content sidebar-left" is no sidebar, and "has-sidebar" none either.
 _LAYOUT = re.compile(r"(?:^|\s)(?:(?:main|page|site|post|article|entry)?[-_]?(?:content|body|wrapper|container|layout|columns?)|post|entry|page|row)(?:$|\s)", re.I)
 _BESIDE = re.compile(r"^[\s_-]*(?:side-?bar|header|nav|menu|widget|shar|social|tag|search)", re.I)
@@ -56,6 +58,10 @@ _SAYS_HAS = re.compile(r"(?:^|\s)(?:has|with|without|no|is)-\S+", re.I)
 _LIKELY = re.compile(r"article|main|story|entry|post-?body|post-?content|article-?body|content-?body|articlebody", re.I)
 _BODY = re.compile(r"(?:^|[\s_-])(?:main|article|story)(?:$|[\s_-])", re.I)
 _WHITE = re.compile(r"\s+")
+#: Headings of reader comments, and how a comment begins.
+_COMMENTS = re.compile(r"^\W*(?:\(?\d+\)?\s+)?(?:(?:reader|user|your|all|recent|latest)\s+)?(?:comments?|responses|replies|reactions|discussion|conversation|thoughts on|leave a (?:comment|reply)|join the (?:discussion|conversation))\b[^.!?]{0,40}$", re.I)
+_SPEAKER = re.compile(r"\b(?:an?|\d+) (?:seconds?|minutes?|mins?|hours?|days?|weeks?|months?|years?) ago\b|\b(?:says|said|wrote|replied|commented)\b(?:[^.!?]{0,40}\d[^.!?]{0,20})?:?$", re.I)
+_TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "td", "tr"}
 #: Containers above a block that get points of it.
 LEVELS = 6
 #: A page is read again where marked elements hold so many times the running text that was found.
@@ -92,7 +98,14 @@ def _hidden(attributes: str) -> bool:
 
 def _mark(name: str) -> int:
     """0 if class, id and role do not mark an element, 1 if they may, 2 if they do plainly."""
-    return (2 if _PLAIN.search(_SAYS_HAS.sub(" ", name)) else 1) if _unlikely(name) else 0
+    if not _unlikely(name):
+        return 0
+    for own in _SAYS_HAS.sub(" ", name).split():
+        parts = re.split(r"[-_]+", own)
+        if any(_PLAIN.fullmatch(x) for x in parts) and all(_PLAIN.fullmatch(x) or _ALONG.fullmatch(x) for x in parts):
+            # the name of a section of the text itself, unless it comes with more
+            return 1 if own.lower() == "discussion" else 2
+    return 1
 
 
 class _Node:
@@ -206,6 +219,51 @@ def _tree(html: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
     return nodes, blocks
 
 
+def _repeated(node: _Node) -> list[_Node]:
+    """The most frequent kind among a node's children that are containers, if it comes at least twice."""
+    kinds: dict[tuple[str, str], list[_Node]] = {}
+    for child in node.children:
+        if not child.gone and child.tag not in _TEXT_TAGS:
+            kinds.setdefault((child.tag, child.name.split(" ")[0]), []).append(child)
+    most = max(kinds.values(), key=len, default=[])
+    return most if len(most) > 1 else []
+
+
+def _mark_comments(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> None:
+    """Marks reader comments by how they are built: what stands below a heading that names them and is a row of like
+    containers or a list, and like containers that all begin with who spoke and when."""
+    first: dict[int, str] = {}
+    for node, text, _ in blocks:
+        above: _Node | None = node
+        while above is not None and id(above) not in first:
+            first[id(above)] = text
+            above = above.parent
+    found: list[_Node] = []
+    for node in nodes:
+        if node.gone or node.mark == 2:
+            continue
+        if node.tag in ("h2", "h3", "h4", "h5", "h6") and node.parent is not None and _COMMENTS.search(first.get(id(node), "")):
+            beside = node.parent.children
+            after = beside[next(k for k, x in enumerate(beside) if x is node) + 1 :]
+            for sibling in after:
+                if sibling.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and sibling.tag <= node.tag:
+                    break
+                if sibling.tag in ("ul", "ol", "dl") or _repeated(sibling):
+                    found += [node, sibling]
+            row = [x for x in after if x.tag not in _TEXT_TAGS and not x.gone]
+            if len(row) > 1 and len({(x.tag, x.name.split(" ")[0]) for x in row}) == 1 and len(row) == len(after):
+                found += [node, *row]
+        speakers = [x for x in _repeated(node) if id(x) in first]
+        if len(speakers) > 1 and all(len(first[id(x)]) < 80 and _SPEAKER.search(first[id(x)]) for x in speakers):
+            found += speakers
+    if found:
+        marked = {id(x) for x in found}
+        for node in nodes:  # parents come first
+            if id(node) in marked or (node.parent is not None and id(node.parent) in marked):
+                marked.add(id(node))
+                node.mark = 2
+
+
 def _density(node: _Node) -> float:
     return node.linked / node.text if node.text else 0.0
 
@@ -219,20 +277,21 @@ def extract(html: str | None) -> str:
     """The article's blocks, one space between them; empty if there is none.
 
     Marked elements are left out at first. Where these hold far more running text than what was found, the page is read
-    again with those that are not plainly marked as candidates for half the points, and if there is no running text even
-    then, with all. What was found before stays.
+    again with those that are not plainly marked as candidates for half the points; what was found before stays. What is
+    plainly marked as comments, notices or adverts, or built like comments, is never part of an article, so a page that
+    has nothing else is empty, as is one of links alone.
     """
     if not html:
         return ""
     nodes, blocks = _tree(html)
+    _mark_comments(nodes, blocks)
     running = [_running(text, linked, node) for node, text, linked in blocks]
     kept = _article(nodes, blocks, 0)
-    for most in (1, 2):
-        own = sum(running[k] for k in kept)
-        marked = sum(n for n, (node, _, _) in zip(running, blocks, strict=True) if node.mark == most)
-        if (MARKED * own < marked) if most == 1 else (not own and marked):
-            more = _article(nodes, blocks, most)
-            kept = more | kept if own else more
+    own = sum(running[k] for k in kept)
+    marked = sum(n for n, (node, _, _) in zip(running, blocks, strict=True) if node.mark == 1)
+    if MARKED * own < marked:
+        more = _article(nodes, blocks, 1)
+        kept = more | kept if own else more
     return " ".join(blocks[k][1] for k in sorted(kept))
 
 
@@ -260,7 +319,7 @@ def _article(nodes: list[_Node], blocks: list[tuple[_Node, str, int]], most: int
             scored[id(above)] = above
             above, level = above.parent, level + 1
     if not scored:
-        return {k for k, *_ in used}
+        return {k for k, node, text, linked in used if not node.mark and 2 * linked < len(text)}
 
     def worth(node: _Node) -> float:
         bonus = 1.25 if node.tag in ("article", "main") or _LIKELY.search(node.name) else 1.0
@@ -277,6 +336,11 @@ def _article(nodes: list[_Node], blocks: list[tuple[_Node, str, int]], most: int
         above = above.parent
     best = whole
     kept = {id(best)}
+    if best.tag == "article" and best.parent is not None:
+        # further articles of the same kind beside it go on with the story
+        for sibling in best.parent.children:
+            if sibling.tag == "article" and sibling.name == best.name and sibling.mark <= most and not sibling.gone and worth(sibling) >= 0.2 * worth(best):
+                kept.add(id(sibling))
     if best.tag not in ("article", "body") and best.parent is not None:
         least = max(3.0, 0.2 * worth(best))
         for sibling in best.parent.children:
