@@ -52,8 +52,11 @@ def regions(hits: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def cities(hits: DataFrame, names: DataFrame) -> DataFrame:
-    """Visitors by city with its name from ``names`` (city, name), N/A where there is none."""
-    return lookups.lookup(shapes.breakdown(hits, "city"), names, "city", "city", {"name": "name"}, {"name": "N/A"})
+    """Visitors by city with its name from ``names`` (city, name), N/A where there is none. With the country's two letters
+    (alpha2) in ``names`` also the flag."""
+    flagged = "alpha2" in names.columns
+    out = lookups.lookup(shapes.breakdown(hits, "city"), names, "city", "city", {"name": "name"} | ({"alpha2": "flag"} if flagged else {}), {"name": "N/A"})
+    return out.withColumn("flag", lookups.flag(F.col("flag"))) if flagged else out
 
 
 def main_graph(hits: DataFrame, interval: str, metric: str = "visitors") -> DataFrame:

@@ -3,14 +3,14 @@ streams, visits by pointers. Each equals a query over the hits themselves and ha
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import periods
-from ..operators import metrics, rollup, shapes, visits
-from ..sources import upkeep, work
-from ..streaming import settled
-from . import catalog, reports
+from ..operators import lookups, metrics, places, rollup, shapes, visits
+from ..sources import agents, dictionary, payload, tables, upkeep, work
+from ..streaming import realtime, settled
+from . import api, catalog, reports
 from .catalog import NOW_RAW, ORACLE_SQL, QUERIES, hits, register, visited
 
 __all__ = ["ORACLE_SQL", "QUERIES"]  # the catalogue's, with these queries added
@@ -119,3 +119,117 @@ def streamed(spark: SparkSession, sf_dir: str, files: int = 4) -> DataFrame:
 
 register("streamed_visits", ORACLE_SQL["visits_dense"])(lambda s, d: streamed(s, d).select(*_VISIT.split(", ")))
 register("streamed_bd_source", ORACLE_SQL["bd_source"])(lambda s, d: shapes.breakdown(streamed(s, d), "source", metrics.NAMES))
+
+
+# Dictionaries of values, grown by three loads
+
+
+def _dictionary(spark: SparkSession, sf_dir: str, *props: str) -> DataFrame:
+    path, rows = work.folder(spark, "dictionary"), hits(spark, sf_dir)
+    for k in (0, 1, 1):  # the last load comes again
+        dictionary.grow(rows.filter(F.col("seq") % 2 == k), path, props)
+    return dictionary.read(spark, path)
+
+
+for _prop in ("page", "country", "source"):
+    register(f"dictionary_{_prop}", ORACLE_SQL[f"suggest_{_prop}"])(lambda s, d, p=_prop: dictionary.values(_dictionary(s, d, p), catalog.SITE, p))
+register("dictionary_prefix", ORACLE_SQL["suggest_prefix"])(lambda s, d: dictionary.values(_dictionary(s, d, "page"), catalog.SITE, "page", "/p/1"))
+register("dictionary_seen_first", ORACLE_SQL["report_seen_first"])(
+    lambda s, d: dictionary.seen_first(_dictionary(s, d), tables.table(s, d, "nation").select(F.concat(F.lit("site"), F.col("n_nationkey").cast("string"), F.lit(".example.com")).alias("domain")))
+)
+register("dictionary_first", f"{catalog._with('dense', False)} SELECT domain, page AS value, min(ts) AS first FROM hits WHERE page IS NOT NULL GROUP BY domain, page")(
+    lambda s, d: _dictionary(s, d, "page").filter("prop = 'page'").select("domain", "value", "first")
+)
+
+# Ingest with a table of agents that two loads have made
+
+
+@register("ingest_known_agents", ORACLE_SQL["ingest_hits"])
+def ingest_known_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid, _ = payload.split(payload.from_text(catalog.payloads(spark, sf_dir), "json"))
+    valid, path = work.written(valid, "payloads"), work.folder(spark, "agents")
+    for k in range(2):
+        agents.grow(valid.filter(F.pmod(F.xxhash64("remote_ip"), F.lit(2)) == k), path)
+    made = payload.enriched(valid, catalog._sites(spark), catalog._ranges(spark, sf_dir), agents.read(spark, path))
+    return made.select("domain", "ts", "view", "event", "page", "host", "browser", "browser_version", "os", "os_version", "device", "country", "subdivision1_code", "city", "source", "referrer", "utm_source", "utm_medium")
+
+
+# Places by a sweep over IPv4 and IPv6 addresses; every other event has an IPv6 address
+
+
+@register("place_sweep", ORACLE_SQL["place_lookup"])
+def place_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, inner = F.lower(F.hex(F.col("user_id") % 25)), (F.col("event_id") % 5).cast("string")
+    four = F.concat_ws(".", F.lit("10"), (F.col("user_id") % 25).cast("string"), inner, F.lit("7"))
+    address = F.when(F.col("event_id") % 2 == 0, four).otherwise(F.concat(F.lit("2001:db8:"), nation, F.lit(":"), inner, F.lit("::7")))
+    rows = tables.table(spark, sf_dir, "events").select("event_id", address.alias("remote_ip"))
+    n = tables.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("d"), F.lower(F.hex("n_nationkey")).alias("h"), F.col("n_name").alias("country"))
+    parts = [("10.{d}.0.0", "10.{d}.255.255", None, None), ("10.{d}.2.0", "10.{d}.2.255", "inner", 9)]
+    parts += [("2001:db8:{h}::", "2001:db8:{h}:ffff:ffff:ffff:ffff:ffff", None, None), ("2001:db8:{h}:2::", "2001:db8:{h}:2:ffff:ffff:ffff:ffff", "inner", 9)]
+
+    def text(pattern: str) -> Column:
+        return F.replace(F.replace(F.lit(pattern), F.lit("{d}"), F.col("d")), F.lit("{h}"), F.col("h"))
+
+    made = [n.select(text(a).alias("low"), text(b).alias("high"), "country", F.lit(r).cast("string").alias("subdivision1_code"), F.lit(c).cast("int").alias("city")) for a, b, r, c in parts]
+    everywhere = spark.range(1).select(F.lit("::").alias("low"), F.lit("ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff").alias("high"), F.lit("nowhere").alias("country"), F.lit(None).cast("string").alias("subdivision1_code"), F.lit(None).cast("int").alias("city"))
+    ranges = everywhere
+    for m in made:
+        ranges = ranges.unionByName(m)
+    return places.with_place(rows, ranges).select("event_id", "country", "subdivision1_code", "city")
+
+
+# Realtime figures of every minute, from a stream
+
+
+@register(
+    "streamed_realtime",
+    f"""{catalog._with("dense", False)} SELECT domain, date_trunc('minute', ts) + k * INTERVAL 1 MINUTE AS minute, CAST(count(DISTINCT id) AS DOUBLE) AS visitors,
+  CAST(count(*) FILTER (WHERE view) AS DOUBLE) AS pageviews FROM hits, (SELECT unnest(range(0, 5)) AS k) GROUP BY 1, 2""",
+)
+def streamed_realtime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, base = hits(spark, sf_dir), work.folder(spark, "realtime")
+    span = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    for k in range(3):
+        if span["low"] is None:
+            rows.write.mode("append").parquet(base + "/in")
+        else:
+            step = (span["high"] - span["low"]) / 3
+            here = F.col("ts") >= F.lit(span["low"] + k * step) if k else F.lit(True)
+            rows.filter(here & (F.col("ts") < F.lit(span["low"] + (k + 1) * step)) if k < 2 else here).coalesce(1).write.mode("append").parquet(base + "/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(base + "/in")
+    realtime.keep(realtime.sets(stream), base + "/sets", base + "/state", None).awaitTermination()
+    return realtime.figures(realtime.read(spark, base + "/sets"))
+
+
+# The stats API over plain hits: visits are worked out only where they are needed
+
+_WEEK = catalog._bounds(catalog._week)
+_OF_SITE = f"domain = '{catalog.SITE}' AND {_WEEK}"
+
+
+def _api(name: str, sql: str, call) -> None:
+    register(name, f"{catalog._with('raw')} {sql}")(lambda s, d: call(hits(s, d, "raw")))
+
+
+_api("api_aggregate_plain", catalog._measured("visits", {}, ["visitors", "pageviews"], _OF_SITE), lambda h: api.aggregate(h, catalog.SITE, NOW_RAW, "7d", "2024-01-15", metrics="visitors,pageviews"))
+_api("api_aggregate", catalog._measured("visits", {}, metrics.NAMES, f"{_OF_SITE} AND entry_page = '/p/5'"), lambda h: api.aggregate(h, catalog.SITE, NOW_RAW, "7d", "2024-01-15", filters='[["is", "visit:entry_page", ["/p/5"]]]', metrics=",".join(metrics.NAMES)))
+_api(
+    "api_timeseries_week",
+    catalog._measured("visits", {"timestamp": f"strftime({catalog._BUCKET['week']}, '%Y-%m-%d')"}, ["visitors", "visits"], f"domain = '{catalog.SITE}' AND {catalog._bounds(periods.period('custom', NOW_RAW, '2024-01-03,2024-01-24', 'week'))}"),
+    lambda h: api.timeseries(h, catalog.SITE, NOW_RAW, **api.between("2024-01-03", "2024-01-24"), interval="week", metrics="visitors,visits"),
+)
+_api("api_breakdown", catalog._measured("visits", {"browser": "browser"}, ["visitors", "bounce_rate"], f"{_OF_SITE} AND browser IS NOT NULL"), lambda h: api.breakdown(h, catalog.SITE, "visit:browser", NOW_RAW, "7d", "2024-01-15", metrics="visitors,bounce_rate"))
+
+# Cities with their country's flag, and ids of cities by name
+
+register(
+    "report_city_flags",
+    f"{catalog._with('dense')}, g AS ({catalog._measured('visits', {'city': 'city'}, ['visitors'], 'city IS NOT NULL')}) SELECT city, visitors, coalesce(n_name, 'N/A') AS name, {catalog._FLAG.format(c='substr(n_name, 1, 2)')} AS flag FROM g LEFT JOIN nation ON n_nationkey = city",
+)(lambda s, d: reports.cities(hits(s, d), tables.table(s, d, "nation").select(F.col("n_nationkey").alias("city"), F.col("n_name").alias("name"), F.substring("n_name", 1, 2).alias("alpha2"))))
+register("city_ids", "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN n_nationkey END AS city FROM customer JOIN nation ON n_nationkey = c_nationkey")(
+    lambda s, d: lookups.with_city_id(
+        tables.table(s, d, "customer").join(tables.table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "nowhere").otherwise(F.col("n_name")).alias("city_name"), F.col("n_regionkey").cast("string").alias("country")),
+        tables.table(s, d, "nation").select(F.col("n_regionkey").cast("string").alias("country"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("city")),
+    ).select("c_custkey", "city")
+)

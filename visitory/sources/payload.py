@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import agent, scalar
 from ..operators import lookups
 from ..schema import PAYLOAD
+from . import agents
 
 NAME_LENGTH = 120
 
@@ -77,10 +78,12 @@ def split(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter("fault is null").drop("fault"), rows.filter("fault is not null")
 
 
-def enriched(valid: DataFrame, sites: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Hits of known sites from people: visitor id, view or event, agent, place, source. ``seq`` breaks ties of time."""
+def enriched(valid: DataFrame, sites: DataFrame, ranges: DataFrame, known_agents: DataFrame | None = None) -> DataFrame:
+    """Hits of known sites from people: visitor id, view or event, agent, place, source. ``seq`` breaks ties of time. Agents
+    are parsed row by row, or taken from the table ``known_agents`` (see :mod:`.agents`)."""
     rows = lookups.known_sites(valid, sites)
-    rows = agent.parsed(rows).filter("not bot").drop("bot")
+    rows = agent.parsed(rows) if known_agents is None else agents.with_agents(rows, known_agents)
+    rows = rows.filter("not bot").drop("bot")
     rows = lookups.with_place(rows, ranges)
     rows = lookups.with_source(rows, "referrer", {"a": F.col("q_utm_source"), "b": F.col("q_source"), "c": F.col("q_ref")})
     view = F.col("name") == "pageview"
