@@ -143,7 +143,29 @@ def test_nearest_equal_brute_force(spark, monkeypatch):
     assert ann.nearest(spark.createDataFrame([], VEC), F.col("vec_id") % 50 == 0).count() == 0
 
 
-@pytest.mark.parametrize("dims", [32, 64])
+@pytest.mark.parametrize("dims", [1, 2, 4, 8, 11, 12, 16])
+def test_near_vectors_of_few_dimensions_share_a_cell(dims):
+    made, rng = caps.Cells(dims, 0.95), np.random.default_rng(6)
+    a, b = rng.normal(size=(2, 800, dims))
+    a = caps.units(a)
+    b = caps.units(b - (a * b).sum(axis=1, keepdims=True) * a + (1e-3 if dims == 1 else 0))
+    x, y = made.listed(a), made.listed(0.95 * a + np.sqrt(1 - 0.95**2) * b if dims > 1 else a)
+    assert all(len(np.intersect1d(p, q)) for p, q in zip(x, y, strict=True))
+    assert np.mean([len(p) for p in x]) < 120 and all(len(np.unique(p)) == len(p) for p in x)
+
+
+def test_caps_of_few_dimensions_equal_brute_force(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(500, 3)), rng.normal(size=(1, 3)) + 0.01 * rng.normal(size=(80, 3))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = u @ u.T
+    links = [(a, b) for a in range(len(x)) for b in range(a + 1, len(x)) if cosine[a, b] >= 0.95]
+    count, root = Counter(k for p in links for k in p), _roots(len(x), links)
+    got = caps.near_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {k: (count[k], root[k]) for k in range(len(x))}
+
+
+@pytest.mark.parametrize("dims", [17, 24, 32, 64])
 def test_near_vectors_share_filters_in_large_tables(dims):
     made, rng = caps.Filters(dims, 1_000_000), np.random.default_rng(5)
     a, b = rng.normal(size=(2, 1500, dims))
