@@ -415,3 +415,64 @@ def test_pages_without_an_article_and_comments_inside_one():
     # a story in two articles, beside one of another kind
     assert html.extract(f"<body><main><article>{text}</article><article>{text}</article></main></body>") == two
     assert html.extract(f"<body><div><article>{text}{text}</article><article class=teaser><p>Other</p></article></div></body>") == two
+
+
+def _zip(raw):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("name.txt", raw)
+    return out.getvalue()
+
+
+def _deflated(raw):
+    import zlib
+
+    one = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return one.compress(raw) + one.flush()
+
+
+def _wrapped(raw, width):
+    import base64
+
+    text = base64.b64encode(raw).decode()
+    return "\n".join(text[k : k + width] for k in range(0, len(text), width))
+
+
+def test_layers_of_every_kind_in_random_nests():
+    import base64
+    import bz2
+    import gzip
+    import zlib
+
+    rnd = random.Random(21)
+    escapes = {
+        "percent": lambda t: "".join(f"%{b:02X}" for b in t.encode("latin-1")),
+        "percent-u": lambda t: "".join(f"%u{ord(c):04x}" for c in t),
+        "u": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+        "braces": lambda t: "".join(f"\\u{{{ord(c):x}}}" for c in t),
+        "long": lambda t: "".join(f"\\U{ord(c):08X}" for c in t),
+        "octal": lambda t: "".join(f"\\{ord(c):03o}" for c in t),
+        "x": lambda t: "".join(f"\\x{ord(c):02x}" for c in t),
+        "base64": lambda t: base64.b64encode(t.encode("latin-1")).decode(),
+        "narrow": lambda t: _wrapped(t.encode("latin-1"), 12),
+        "wrapped": lambda t: _wrapped(t.encode("latin-1"), 64),
+        "gzip": lambda t: base64.b64encode(gzip.compress(t.encode("latin-1"))).decode(),
+        "zlib": lambda t: base64.b64encode(zlib.compress(t.encode("latin-1"))).decode(),
+        "bzip2": lambda t: base64.b64encode(bz2.compress(t.encode("latin-1"))).decode(),
+        "zip": lambda t: base64.b64encode(_zip(t.encode("latin-1"))).decode(),
+        "deflate": lambda t: base64.b64encode(_deflated(t.encode("latin-1"))).decode(),
+    }
+    nests = [[k] for k in escapes] + [[rnd.choice(list(escapes)) for _ in range(rnd.randint(2, 3))] for _ in range(60)]
+    for nest in nests:
+        inside = f"the key is AKIA{''.join(rnd.choices('ABCDEFGHJKLMNPQRSTUVWXYZ234567', k=16))} and no other word here is one"
+        for kind in nest:
+            inside = escapes[kind](inside)
+        text = f"Some words before:\n{inside}\nand some after."
+        got = [x for x in secrets.scan(text) if x[1] == 1]
+        # a base64 run without "=" at its end goes on over the line end to the next word
+        assert got and all(19 <= s < e <= 19 + len(inside) + len("\nand") for s, _, e, _ in got), nest
+    for odd in ("%u12", "\\u{110000}", "\\U99999999", "\\400", "PK\x03\x04", "BZh91AY&SY", "QUtJQQ==\nQUtJQQ=="):
+        assert secrets.scan(odd * 3) == []
