@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from visitory.plans import catalog
+from visitory.plans import catalog, stored  # noqa: F401  stored adds its queries to the catalogue
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -14,6 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 PICKED = [
     "visits_dense", "visits_compat", "visit_invariants", "agg_per_site", "ts_minute", "ts_week", "main_graph_date", "period_custom", "filter_is_not", "filter_json",
     "bd_page", "bd_pct_device", "bd_page_limit", "exit_pages", "goals", "conversions", "report_countries", "report_referrers", "top_stats_prev", "realtime",
+    "rollup_bd_page", "stored_visits", "stored_period_day", "visits_pointers", "streamed_visits", "place_sweep", "streamed_realtime", "compacted_visits", "api_breakdown", "report_city_flags",
     "url_parts", "source_resolve", "bsi_between", "bitmap_distinct", "ingest_faults", "ingest_hits", "place_lookup",
 ]
 

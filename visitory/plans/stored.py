@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import periods
 from ..operators import lookups, metrics, places, rollup, shapes, visits
-from ..sources import agents, dictionary, payload, tables, upkeep, work
+from ..sources import agents, compaction, dictionary, payload, tables, upkeep, work
+from ..sources import store as hit_store
 from ..streaming import realtime, settled
 from . import api, catalog, reports
 from .catalog import NOW_RAW, ORACLE_SQL, QUERIES, hits, register, visited
@@ -233,3 +234,17 @@ register("city_ids", "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN n_nati
         tables.table(s, d, "nation").select(F.col("n_regionkey").cast("string").alias("country"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("city")),
     ).select("c_custkey", "city")
 )
+
+# Visits stored in many batches, of which all but the last two were compacted, in two goes
+
+
+@register("compacted_visits", ORACLE_SQL["visits_dense"])
+def compacted_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, path = work.written(visited(spark, sf_dir), "visits"), work.folder(spark, "batches")
+    schema = rows.withColumn("day", F.to_date("ts")).schema
+    for n in range(8):
+        hit_store.write(rows.filter(F.pmod(F.xxhash64("seq"), F.lit(8)) == n), f"{path}/batch={n}", "overwrite")
+        if n in (2, 5):
+            compaction.compact(spark, path, schema)
+    compaction.clean(spark, path)
+    return compaction.read(spark, path, schema).select(*_VISIT.split(", "))
