@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import periods
+from ..functions import periods, scalar
 from ..operators import lookups, metrics, places, rollup, shapes, visits
-from ..sources import agents, compaction, dictionary, payload, tables, upkeep, work
+from ..sources import agents, compaction, dictionary, payload, sites, tables, upkeep, work
 from ..sources import store as hit_store
 from ..streaming import realtime, settled
 from . import api, catalog, reports
@@ -248,3 +248,66 @@ def compacted_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
             compaction.compact(spark, path, schema)
     compaction.clean(spark, path)
     return compaction.read(spark, path, schema).select(*_VISIT.split(", "))
+
+# Parts of ingest by themselves, over values made from events
+
+_BYTES = "list_transform(regexp_extract_all(hex(encode({s})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+_CRC32 = f"xor(list_reduce(list_prepend(4294967295, {_BYTES}), lambda c, b: list_reduce([xor(c, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+
+def _e(n: int) -> Column:
+    return F.col("event_id") % n
+
+
+def _u(n: int) -> Column:
+    return F.col("user_id") % n
+
+
+def _text(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+register("visitor_ids", f"""SELECT event_id, {_CRC32.format(s="'10.0.' || (user_id % 200) || '.' || (event_id % 9) || 'agent ' || (user_id % 6) || 'site' || (user_id % 3) || '.org' || CASE WHEN user_id % 7 <> 0 THEN 'www' || (user_id % 2) || '.org' ELSE '' END")} AS id FROM events""")(
+    lambda s, d: tables.table(s, d, "events").select(
+        "event_id", scalar.visitor_id(_text("10.0.", _u(200), ".", _e(9)), _text("agent ", _u(6)), _text("site", _u(3), ".org"), F.when(_u(7) != 0, _text("www", _u(2), ".org"))).alias("id")
+    )
+)
+register("page_paths", "SELECT event_id, '/' || CASE WHEN event_id % 4 = 0 THEN '' ELSE 'p/' || (event_id % 12) END || CASE WHEN event_id % 3 = 0 AND user_id % 2 = 1 THEN '#f' || (user_id % 5) ELSE '' END AS page FROM events")(
+    lambda s, d: tables.table(s, d, "events").select(
+        "event_id", scalar.page_path(_text("https://a.org", F.when(_e(4) == 0, F.lit("")).otherwise(_text("/p/", _e(12))), F.when(_e(3) == 0, _text("#f", _u(5))).otherwise(F.lit(""))), (_u(2)).cast("int")).alias("page")
+    )
+)
+register("clean_domains", "SELECT event_id, CASE event_id % 5 WHEN 4 THEN NULL WHEN 3 THEN 'site' || (user_id % 3) || '.org:8080' ELSE 'site' || (user_id % 3) || '.org' END AS domain FROM events")(
+    lambda s, d: tables.table(s, d, "events").select(
+        "event_id",
+        scalar.clean_domain(
+            F.when(_e(5) == 0, _text(" https://www.Site", _u(3), ".org/ ")).when(_e(5) == 1, _text("http://site", _u(3), ".ORG//")).when(_e(5) == 2, _text("www.site", _u(3), ".org")).when(_e(5) == 3, _text("SITE", _u(3), ".org:8080")).otherwise(_text("not a name ", _u(3)))
+        ).alias("domain"),
+    )
+)
+register("client_addresses", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN '10.1.0.' || (user_id % 250) WHEN 1 THEN '10.2.0.' || (user_id % 250) WHEN 2 THEN '2001:db8::' || (user_id % 9) WHEN 3 THEN '-' ELSE '10.9.9.' || (user_id % 250) END AS address FROM events")(
+    lambda s, d: tables.table(s, d, "events").select(
+        "event_id",
+        scalar.client_address(
+            F.when(_e(5) == 0, F.create_map(F.lit("x-forwarded-for"), _text("10.3.0.", _u(250)), F.lit("x-real-ip"), _text("10.1.0.", _u(250))))
+            .when(_e(5) == 1, F.create_map(F.lit("fly-client-ip"), _text("10.2.0.", _u(250)), F.lit("x-real-ip"), F.lit("")))
+            .when(_e(5) == 2, F.create_map(F.lit("cf-connecting-ip"), _text("2001:db8::", _u(9))))
+            .when(_e(5) == 3, F.create_map(F.lit("x-real-ip"), F.lit("unknown"))),
+            _text("10.9.9.", _u(250), ":443"),
+        ).alias("address"),
+    )
+)
+
+
+@register(
+    "site_goals",
+    """SELECT domain, name, path FROM (SELECT 'site' || n_nationkey || '.org' AS domain, n_nationkey AS k FROM nation), (VALUES ('signup', NULL, 1), ('buy', NULL, 2), (NULL, '/p/3', 3)) AS g(name, path, n)
+WHERE k <> 4 AND (n = 1 OR (n = 3 AND k = 2))""",
+)
+def site_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites of all nations with a goal each; one gets two more, of which one goes again, and one site is deleted."""
+    goal = F.struct(F.lit("signup").alias("name"), F.lit(None).cast("string").alias("path"))
+    made = tables.table(spark, sf_dir, "nation").select(_text("site", F.col("n_nationkey"), ".org").alias("domain"), F.lit(False).alias("public"), F.array(goal).alias("goals"))
+    for name, path in (("buy", None), (None, "/p/3"), ("signup", None)):
+        made = sites.add_goal(made, "site2.org", name, path)
+    return sites.goals(sites.delete(sites.delete_goal(made, "site2.org", 1), "site4.org"))
