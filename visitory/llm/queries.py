@@ -18,42 +18,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and what they decode to, as digests."""
     return bpe.digests(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and links of every document by five-word shingles at a similarity of 0.8."""
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4,096 ids."""
     return packing.pack(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every whole text, learned from the documents that are not held out."""
     return mixing.scores(_table(spark, sf_dir, "documents"))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text and in what is encoded in it."""
     return secrets.digests(_table(spark, sf_dir, "documents"))
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id 50 divides."""
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every whole text."""
     return langid.predictions(_table(spark, sf_dir, "documents"))
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that three or more share."""
     return lines.digests(_table(spark, sf_dir, "documents"))
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
     return html.main_text(_table(spark, sf_dir, "pages"))
 
 
 def op10_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.95."""
     return caps.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
