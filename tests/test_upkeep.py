@@ -85,3 +85,25 @@ def test_empty_loads(spark):
     upkeep.add(spark.createDataFrame(some, SCHEMA), path)
     assert upkeep.add(spark.createDataFrame([], SCHEMA), path) == 0
     assert upkeep.read(spark, path).count() == 1
+
+
+def test_a_row_is_compared_with_few_stretches(spark, monkeypatch):
+    """A visitor of very many stretches: rows meet stretches by the hour, and repeated hits of a first load count once."""
+    rows = [("s", 1, k, T + timedelta(minutes=20 * k), True, None, "/a", "h", "b") for k in range(600)]
+    late = [("s", 1, 1000 + k, T + timedelta(minutes=20 * k, seconds=5), False, "x", "/a", "h", "b") for k in range(600)]
+    path, compared = _new(spark), []
+    join = type(spark.range(1)).join
+
+    def seen(self, other, on=None, how=None):
+        if how == "left" and "first" in other.columns:
+            compared.append(join(self, other, on[:-1], "inner").count())  # without the bounds
+        return join(self, other, on, how)
+
+    upkeep.add(spark.createDataFrame(rows + rows, SCHEMA), path)
+    assert upkeep.read(spark, path).count() == 600
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.range(1)), "join", seen)
+        upkeep.add(spark.createDataFrame(late, SCHEMA), path)
+    assert compared and max(compared) <= 5 * 1200
+    want = visits.visits(spark.createDataFrame(rows + late, SCHEMA).withColumn("sent_host", F.col("host")))
+    assert _rows(upkeep.read(spark, path)) == _rows(want)

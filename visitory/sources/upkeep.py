@@ -44,7 +44,7 @@ def _put(rows: DataFrame, path: str) -> None:
 
 
 def _visited(hits: DataFrame) -> DataFrame:
-    return visits.visits(hits.withColumn("sent_host", F.col("host")), most=MOST)
+    return visits.visits(hits.withColumn("sent_host", F.col("host")), most=MOST, once=True)
 
 
 def _stretches(instants: DataFrame, window_us: int) -> DataFrame:
@@ -65,7 +65,7 @@ def add(hits: DataFrame, path: str, window_us: int = visits.WINDOW_US) -> int:
     """
     spark = hits.sparkSession
     plain = hits.columns
-    fresh = work.written(hits.filter("domain is not null and id is not null and ts is not null").dropDuplicates(HIT_KEY), "fresh-hits")
+    fresh = work.written(hits.filter("domain is not null and id is not null and ts is not null"), "fresh-hits")
     if not _exists(spark, path):
         _put(_visited(fresh), path)
         return 0
@@ -95,15 +95,19 @@ def add(hits: DataFrame, path: str, window_us: int = visits.WINDOW_US) -> int:
             break
         around *= 2
 
+    # stretches by hour: an hour has five at most, so a row is compared with few however many its visitor has
+    hour_us = 3_600_000_000
+    by_hour = changed.withColumn("hour", F.explode(F.sequence(F.floor(F.col("first") / hour_us), F.floor(F.col("last") / hour_us))))
+
     def inside(rows: DataFrame) -> DataFrame:
         """The rows that lie in a changed stretch; a visitor's stretches do not overlap, so a row meets one at most."""
-        a, b = rows.withColumn("us", us).alias("a"), changed.alias("b")
-        met = a.join(b, (F.col("a.domain") == F.col("b.domain")) & (F.col("a.id") == F.col("b.id")) & F.col("a.us").between(F.col("b.first"), F.col("b.last")), "left")
-        return met.select("a.*", F.col("b.first").isNotNull().alias("changed")).drop("us")
+        a, b = rows.withColumn("us", us).withColumn("hour", F.floor(F.col("us") / hour_us)).alias("a"), by_hour.alias("b")
+        met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("domain", "id", "hour")] + [F.col("a.us").between(F.col("b.first"), F.col("b.last"))], "left")
+        return met.select("a.*", F.col("b.first").isNotNull().alias("changed")).drop("us", "hour")
 
     old = near.select(*[F.col("sent_host").alias("host") if c == "host" else F.col(c) for c in plain])
     old = inside(old).filter("changed").drop("changed")
-    again = work.written(_visited(old.unionByName(fresh).dropDuplicates(HIT_KEY)), "changed-visits")
+    again = work.written(_visited(old.unionByName(fresh)), "changed-visits")
     touched = again.select("domain", F.to_date("ts").alias("day")).distinct()
     bounds = again.agg(F.min(F.to_date("ts")).alias("low"), F.max(F.to_date("ts")).alias("high")).first()
     kept = read(spark, path).filter(F.col("day").between(F.lit(bounds["low"]), F.lit(bounds["high"]))).join(touched, ["domain", "day"], "left_semi")
