@@ -1,6 +1,7 @@
 """Encoding, packing, secrets, language ID, lines and pages: plain versions, libraries and odd inputs."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import random
@@ -219,6 +220,22 @@ def test_only_archives_are_charged(monkeypatch):
     assert min(found) == 0 and max(found) > len(packed)
 
 
+def test_nothing_stays_closed(monkeypatch):
+    """Beyond what is held and beyond the effort, layers are still unwrapped."""
+    monkeypatch.setattr(secrets, "MOST_UNPACKED", 1000)
+    monkeypatch.setattr(secrets, "PIECE", 500)
+    monkeypatch.setattr(secrets, "OVERLAP", 64)
+    noise = _b64(random.Random(5).randbytes(3000)).encode()
+    # a base64 run and archives that begin far beyond and go over many pieces
+    for far in (_b64(noise + SECRET.encode()).encode(), gzip.compress(noise + SECRET.encode()), bz2.compress(noise + _b64(SECRET.encode()).encode()), zlib.compress(gzip.compress(noise * 2 + urllib.parse.quote(SECRET).encode()))):
+        text = _b64(zlib.compress(b"a " * 3000 + far + b" a" * 3000))
+        assert any(k == 0 and not plain for _, k, _, plain in secrets.scan(text)), far[:10]
+    monkeypatch.setattr(secrets, "LEAST_EFFORT", 0)
+    monkeypatch.setattr(secrets, "EFFORT", 0)
+    for hidden in (_b64(_b64(SECRET.encode()).encode()), _b64(gzip.compress(_b64(SECRET.encode()).encode())), "%2525" + _b64(urllib.parse.quote(_b64(SECRET.encode())).encode())):
+        assert any(k == 0 and not plain for _, k, _, plain in secrets.scan("see " + hidden))
+
+
 def test_cycles_end():
     assert secrets.scan("%25" * 50 + "A" * 40 + "=" * 3) == []
 
