@@ -236,6 +236,24 @@ def test_held_out_texts_do_not_change_the_model(spark):
     assert len(alone) < len(one) and all(math.isclose(one[k], alone[k], rel_tol=1e-9) for k in alone)
 
 
+def test_weights_are_fitted_on_all_training_words(spark, monkeypatch):
+    """Even if no word is drawn to start from, weights and refinement come from the training words, and are the better for it."""
+    rnd = random.Random(13)
+    rows = [(k, " ".join(f"{rnd.choice('abc')}{rnd.choice('xyz')}{rnd.randrange(30)}" for _ in range(40)) + f" q{k}z{rnd.randrange(10**6)}", "en") for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    full, found = mixing._fitted, []
+    monkeypatch.setattr(mixing, "FIT_TOKENS", 0)
+    monkeypatch.setattr(mixing, "FIT_WORDS", 0)
+    monkeypatch.setattr(mixing, "_fitted", lambda *a: found.append(full(*a)) or found[-1])
+    fitted = sum(r.score for r in mixing.scores(docs).filter("held_out").collect())
+    mixer, speller = found[0]
+    assert np.ptp(mixer.weights) > 0.05 and np.ptp(speller.weights) > 0.001
+    plain = mixing.Mixer(mixer.table, mixer.sizes), mixing.Speller(speller.table)
+    assert abs(mixer.refined - plain[0].refined).max() > 0.01
+    monkeypatch.setattr(mixing, "_fitted", lambda *a: plain)
+    assert fitted > sum(r.score for r in mixing.scores(docs).filter("held_out").collect())
+
+
 def _small_block(texts, spelled=-20.0, follows=()):
     import xxhash
 
