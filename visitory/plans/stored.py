@@ -94,27 +94,31 @@ register("visits_pointers", ORACLE_SQL["visits_dense"])(lambda s, d: visits.visi
 
 
 def streamed(spark: SparkSession, sf_dir: str, files: int = 4) -> DataFrame:
-    """The settled visits of all hits, which arrive in ``files`` files by time and a delay that each hit has of its own."""
+    """The settled visits of all hits, which arrive in ``files`` parts by time and a delay that each hit has of its own."""
     rows = hits(spark, sf_dir)
     arrival = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("seq"), F.lit(1_800_000_000))
     span = rows.agg(F.min(arrival).alias("low"), F.max(arrival).alias("high")).first()
     base = work.folder(spark, "stream")
     low, high = span["low"] or 0, span["high"] or 0
     step = (high - low) // files + 1
-    for k in range(files):
-        # what arrived in the last minute before comes again
-        come = (arrival >= low + k * step - 60_000_000) & (arrival < low + (k + 1) * step)
-        rows.filter(come).coalesce(1).write.mode("append").parquet(base + "/in")
-    # a hit much later moves the watermark past the last visit
-    end = {"domain": F.lit("~end"), "id": F.lit(0).cast("long"), "seq": F.lit(0).cast("long"), "ts": F.timestamp_micros(F.lit(high + 10**11)).cast("timestamp_ntz"), "view": F.lit(True)}
-    spark.range(1).coalesce(1).select(*[end.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]).write.mode("append").parquet(base + "/in")
     settled.prepare(spark)
-    made = settled.visits(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(base + "/in"), "40 minutes")
+    rows.limit(0).write.parquet(base + "/in")
+    made = settled.visits(spark.readStream.schema(rows.schema).parquet(base + "/in"), "40 minutes")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    made.writeStream.foreachBatch(put).option("checkpointLocation", base + "/state").trigger(availableNow=True).start().awaitTermination()
+    def go_on(arrived: DataFrame) -> None:
+        """What has arrived is one batch, of as many files as it has tasks; the stream goes on where it stood."""
+        arrived.write.mode("append").parquet(base + "/in")
+        made.writeStream.foreachBatch(put).option("checkpointLocation", base + "/state").trigger(availableNow=True).start().awaitTermination()
+
+    for k in range(files):
+        # what arrived in the last minute before comes again
+        go_on(rows.filter((arrival >= low + k * step - 60_000_000) & (arrival < low + (k + 1) * step)))
+    # a hit much later moves the watermark past the last visit
+    end = {"domain": F.lit("~end"), "id": F.lit(0).cast("long"), "seq": F.lit(0).cast("long"), "ts": F.timestamp_micros(F.lit(high + 10**11)).cast("timestamp_ntz"), "view": F.lit(True)}
+    go_on(spark.range(1).coalesce(1).select(*[end.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]))
     return spark.read.schema(made.schema).parquet(f"{base}/out/batch=*")
 
 
