@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from visitory.functions import periods
 from visitory.operators import lookups, metrics, shapes, visits
@@ -66,3 +67,21 @@ def test_store_prunes_days_and_sites(spark, tmp_path):
     plan = two._jdf.queryExecution().executedPlan().toString()
     pruned = plan[plan.index("PartitionFilters") : plan.index("PushedFilters")]
     assert "day" in pruned and "domain" in pruned
+
+
+def test_a_busy_site_is_spread(spark):
+    """All hits are of one site: its admission still deals them over all tasks, and equal hits all stay."""
+    hits = spark.range(1000).selectExpr("if(id % 10 = 0, 'b', 'a') as domain", "id % 500 as k", "map('x', id) as more")
+    hits = hits.unionByName(spark.range(1).selectExpr("cast(null as string) as domain", "id as k", "map('x', id) as more"))
+    sites = spark.createDataFrame([("a",), ("a",), ("z",)], "domain string")
+    kept = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in kept}
+    try:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        made = lookups.known_sites(hits, sites)
+        assert made.count() == 900 and made.columns == hits.columns
+        assert made.select(F.spark_partition_id()).distinct().count() == 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
