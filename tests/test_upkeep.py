@@ -107,3 +107,16 @@ def test_a_row_is_compared_with_few_stretches(spark, monkeypatch):
     assert compared and max(compared) <= 5 * 1200
     want = visits.visits(spark.createDataFrame(rows + late, SCHEMA).withColumn("sent_host", F.col("host")))
     assert _rows(upkeep.read(spark, path)) == _rows(want)
+
+
+def test_only_new_hits_are_written_beside_the_days(spark, monkeypatch):
+    """Changed visits go straight to their days; of all columns nothing is written on the way but the new hits."""
+    rows = [("s", 1, k, T + timedelta(minutes=5 * k), True, None, "/a", "h", "b") for k in range(0, 40, 2)]
+    late = [("s", 1, k, T + timedelta(minutes=5 * k), True, None, "/b", "h", "b") for k in range(1, 40, 2)]
+    path, wide = _new(spark), []
+    upkeep.add(spark.createDataFrame(rows, SCHEMA), path)
+    written = work.written
+    monkeypatch.setattr(work, "written", lambda df, name: (wide.append(name) if "browser" in df.columns else None, written(df, name))[1])
+    upkeep.add(spark.createDataFrame(late, SCHEMA), path)
+    assert wide == ["fresh-hits"]
+    assert _rows(upkeep.read(spark, path)) == _rows(visits.visits(spark.createDataFrame(rows + late, SCHEMA).withColumn("sent_host", F.col("host"))))

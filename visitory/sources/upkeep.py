@@ -83,8 +83,8 @@ def add(hits: DataFrame, path: str, window_us: int = visits.WINDOW_US) -> int:
         days = fresh.select("domain", F.to_date("ts").alias("new_day")).distinct()
         days = days.select("domain", F.explode(F.sequence(F.date_sub("new_day", around), F.date_add("new_day", around))).alias("day")).distinct()
         near = read(spark, path).filter(F.col("day").between(F.date_sub(F.lit(span["low"]), around), F.date_add(F.lit(span["high"]), around)))
-        near = near.join(days, ["domain", "day"], "left_semi").join(people, ["domain", "id"], "left_semi")
-        instants = near.select("domain", "id", us.alias("us")).distinct().withColumn("new", F.lit(False)).unionByName(news.withColumn("new", F.lit(True)))
+        near = near.join(days, ["domain", "day"], "left_semi")
+        instants = near.join(people, ["domain", "id"], "left_semi").select("domain", "id", us.alias("us")).distinct().withColumn("new", F.lit(False)).unionByName(news.withColumn("new", F.lit(True)))
         instants = instants.groupBy("domain", "id", "us").agg(F.max("new").alias("new"))
         changed = work.written(_stretches(instants, window_us), "changed-stretches")
         # a stretch that goes on from the first or to the last day that was read may go on beyond
@@ -107,10 +107,12 @@ def add(hits: DataFrame, path: str, window_us: int = visits.WINDOW_US) -> int:
 
     old = near.select(*[F.col("sent_host").alias("host") if c == "host" else F.col(c) for c in plain])
     old = inside(old).filter("changed").drop("changed")
-    again = work.written(_visited(old.unionByName(fresh)), "changed-visits")
-    touched = again.select("domain", F.to_date("ts").alias("day")).distinct()
-    bounds = again.agg(F.min(F.to_date("ts")).alias("low"), F.max(F.to_date("ts")).alias("high")).first()
+    # a stretch has no pause, so it has hits on every day from its first to its last
+    day_at = [F.to_date(F.timestamp_micros(c)) for c in ("first", "last")]
+    touched = work.written(changed.select("domain", F.explode(F.sequence(*day_at)).alias("day")).distinct(), "changed-days")
+    bounds = touched.agg(F.min("day").alias("low"), F.max("day").alias("high")).first()
     kept = read(spark, path).filter(F.col("day").between(F.lit(bounds["low"]), F.lit(bounds["high"]))).join(touched, ["domain", "day"], "left_semi")
     kept = inside(kept).filter(~F.col("changed")).drop("changed", "day")
-    _put(kept.unionByName(again), path)
+    # what has changed goes straight to its days: nothing of all columns is written but the days themselves
+    _put(kept.unionByName(_visited(old.unionByName(fresh))), path)
     return rounds
