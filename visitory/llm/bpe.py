@@ -17,6 +17,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -129,8 +130,10 @@ class WordBpe:
                 least = ranks[line, at]
                 more = least < _NONE
                 if not more.all():
-                    for i in np.flatnonzero(~more):
-                        out[left[i]] = parts[i, : n[i]].astype("<u4").tobytes()
+                    whole = ~more
+                    flat, row = parts[whole].astype("<u4").tobytes(), 4 * parts.shape[1]
+                    for k, (i, size_i) in enumerate(zip(left[whole].tolist(), n[whole].tolist(), strict=True)):
+                        out[i] = flat[k * row : k * row + 4 * size_i]
                     left, parts, ranks, n, at, least = left[more], parts[more], ranks[more], n[more], at[more], least[more]
                     line = np.arange(len(left))
                     if not len(left):
@@ -173,6 +176,8 @@ class WordBpe:
         return np.array([p for p in parts if p >= 0], dtype="<u4").tobytes()
 
     def _cut(self, chunk: str) -> list[str]:
+        if chunk.isascii() and chunk.isalpha():
+            return [chunk]  # a run of letters is one word
         if not _western(chunk) and _LATER.search(chunk):
             # same length, so words are cut from the chunk itself
             known = _LATER.sub("\x01", chunk)
@@ -188,7 +193,7 @@ class WordBpe:
         ids = dict(zip(short, self._short(short), strict=True)) if short else {}
         ids |= {w: self._long(w) for w in unseen if len(w) > SHORT}
         for c, ws in zip(chunk_list, words, strict=True):
-            self.cache[c] = b"".join([ids[w] for w in ws])
+            self.cache[c] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
 
     def _chunks(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text)
@@ -216,12 +221,12 @@ class WordBpe:
                     parts = self._chunks(t)
             pieces.append(parts)
         cache = self.cache
-        unseen = {p for parts in pieces for p in parts if p not in cache}
+        unseen = set(chain.from_iterable(pieces)).difference(cache)
         marks = {p for p in unseen if isinstance(p, int)}
         self._learn(unseen - marks)
         for m in marks:
             cache[m] = np.array([m], dtype="<u4").tobytes()
-        return [b"".join([cache[p] for p in parts]) for parts in pieces]
+        return [b"".join(map(cache.__getitem__, parts)) for parts in pieces]
 
     def decode(self, ids: bytes) -> str:
         """The tokens of ``ids`` with a space between them, as the file names no decoder."""
