@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import string
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -96,6 +97,9 @@ class WordBpe:
         signs = _byte_signs()
         self._inner = np.array([vocab[s] for s in signs], dtype=np.int32)
         self._last = np.array([vocab[s + suffix] for s in signs], dtype=np.int32)
+        # ranks of two bytes, the second inside a word or (from 256 on) at its end
+        ends = np.concatenate([self._inner, self._last])
+        self._first = self._rank(np.repeat(self._inner, 512), np.tile(ends, 256))
         pattern = next(p for p in file["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self._words = regex.compile(pattern)
         self._special = special
@@ -114,7 +118,7 @@ class WordBpe:
         out: list[bytes] = [b""] * len(words)
         size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         order = np.argsort(size, kind="stable")
-        for rows in np.array_split(order, max(1, len(order) // 4096)):
+        for rows in np.array_split(order, max(1, len(order) // 4096)) if words else ():
             n, wide = size[rows], int(size[rows[-1]])
             flat = np.frombuffer(b"".join(words[i] for i in rows), dtype=np.uint8)
             cell = np.arange(wide) < n[:, None]
@@ -122,7 +126,12 @@ class WordBpe:
             parts[:, :-1][cell] = self._inner[flat]
             last = flat[np.cumsum(n) - 1]
             parts[np.arange(len(rows)), n - 1] = self._last[last]
-            ranks = self._rank(parts[:, :-1], parts[:, 1:])
+            ranks = np.full((len(rows), wide), _NONE, dtype=np.int32)
+            ends, pair = np.cumsum(n) - 1, flat[:-1].astype(np.int64) * 512 + flat[1:]
+            pair[ends[n > 1] - 1] += 256
+            inner = cell.copy()
+            inner[np.arange(len(rows)), n - 1] = False
+            ranks[inner] = self._first[np.delete(pair, ends[:-1])]
             left, n = rows, n.copy()
             while len(left):
                 at = ranks.argmin(axis=1)
@@ -176,9 +185,11 @@ class WordBpe:
         return np.array([p for p in parts if p >= 0], dtype="<u4").tobytes()
 
     def _cut(self, chunk: str) -> list[str]:
-        if chunk.isascii() and chunk.isalpha():
-            return [chunk]  # a run of letters is one word
-        if not _western(chunk) and _LATER.search(chunk):
+        core = chunk.rstrip(string.punctuation)
+        if core.isalpha() and _western(chunk):
+            # a run of letters is one word, and so are the signs behind it
+            return [core, chunk[len(core) :]] if len(core) < len(chunk) else [chunk]
+        if not chunk.isascii() and not _western(chunk) and _LATER.search(chunk):
             # same length, so words are cut from the chunk itself
             known = _LATER.sub("\x01", chunk)
             return [chunk[m.start() : m.end()] for m in self._words.finditer(known)]
@@ -186,17 +197,29 @@ class WordBpe:
 
     def _learn(self, chunks: set[str]) -> None:
         """Puts the ids of unseen chunks (text between white space) into the cache."""
-        chunk_list = list(chunks)
-        words = [[w.encode() for w in self._cut(c)] for c in chunk_list]
-        unseen = list({w for ws in words for w in ws})
-        short = [w for w in unseen if len(w) <= SHORT]
-        ids = dict(zip(short, self._short(short), strict=True)) if short else {}
-        ids |= {w: self._long(w) for w in unseen if len(w) > SHORT}
-        for c, ws in zip(chunk_list, words, strict=True):
-            self.cache[c] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
+        cache = self.cache
+        plain = {c for c in chunks if c.isascii() and c.isalpha()}
+        odd = list(chunks - plain)
+        cut = [self._cut(c) for c in odd]
+        # a word alone is cut no further, so what is known of it as a chunk holds
+        plain.update(w for w in set(chain.from_iterable(cut)) if w not in cache)
+        words = list(plain)
+        coded = [w.encode() for w in words]
+        size = list(map(len, coded))
+        if max(size, default=0) <= SHORT:
+            cache.update(zip(words, self._short(coded), strict=True))
+        else:
+            for w, x in zip(words, coded, strict=True):
+                if len(x) > SHORT:
+                    cache[w] = self._long(x)
+            short = [k for k, n in enumerate(size) if n <= SHORT]
+            cache.update(zip([words[k] for k in short], self._short([coded[k] for k in short]), strict=True))
+        known = cache.__getitem__
+        cache.update([(c, b"".join(map(known, ws))) for c, ws in zip(odd, cut, strict=True) if len(ws) != 1])
 
     def _chunks(self, text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text)
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
         if not _western(text) and not _LOWER_SIGNS.isdisjoint(text):
             # lower case goes by single characters: no final sigma; and by a later Unicode version than Python's
             text = text.translate(_LOWER)
@@ -207,26 +230,34 @@ class WordBpe:
         """Ids of each text, as little-endian unsigned 32-bit integers; a null text is empty."""
         if len(self.cache) > CACHE:
             self.cache.clear()
-        pieces: list[list[str | int]] = []
+        cache = self.cache
+        found: list[list[bytes | None]] = []
+        missed: list[tuple[int, list[int], list[str]]] = []
         for t in texts:
             parts: list[str | int] = []
             if t:
                 if self._marks is not None and "<|" in t:
                     for s in self._marks.split(t):
                         if s in self._special:
-                            parts.append(self._special[s])
+                            parts.append(i := self._special[s])
+                            cache[i] = np.array([i], dtype="<u4").tobytes()
                         else:
                             parts.extend(self._chunks(s))
                 else:
                     parts = self._chunks(t)
-            pieces.append(parts)
-        cache = self.cache
-        unseen = set(chain.from_iterable(pieces)).difference(cache)
-        marks = {p for p in unseen if isinstance(p, int)}
-        self._learn(unseen - marks)
-        for m in marks:
-            cache[m] = np.array([m], dtype="<u4").tobytes()
-        return [b"".join(map(cache.__getitem__, parts)) for parts in pieces]
+            known = list(map(cache.get, parts))
+            if None in known:
+                # only these wait for their ids and are looked up again
+                at = [k for k, x in enumerate(known) if x is None]
+                missed.append((len(found), at, [parts[k] for k in at]))
+            found.append(known)
+        if missed:
+            self._learn(set(chain.from_iterable(m[2] for m in missed)))
+            for k, at, parts in missed:
+                known = found[k]
+                for i, p in zip(at, parts, strict=True):
+                    known[i] = cache[p]
+        return [b"".join(known) for known in found]
 
     def decode(self, ids: bytes) -> str:
         """The tokens of ``ids`` with a space between them, as the file names no decoder."""

@@ -84,8 +84,8 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int,
     return runs
 
 
-def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids (binary) of every document's ids with ``end`` behind them. A null or empty
+def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, unless told otherwise, ids (binary) of every document's ids with ``end`` behind them. A null or empty
     text is one piece that holds ``end`` alone."""
     wanted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = wanted.schema["doc_id"].dataType.simpleString()
@@ -96,22 +96,21 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, id_col:
         for b in slices(batches, "text", 1 << 20):
             rows = [
                 (k // size, k, x[4 * k : 4 * (k + size)], d)
-                for d, x in zip(b.column("doc_id"), (i + last for i in bpe.encode(b.column("text").to_pylist())), strict=True)
+                for d, x in enumerate(i + last for i in bpe.encode(b.column("text").to_pylist()))
                 for k in range(0, len(x) // 4, size)
             ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[3].as_py() for r in rows], b.schema.field("doc_id").type),
-                    pa.array([r[0] for r in rows], pa.int32()),
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([len(r[2]) // 4 for r in rows], pa.int64()),
-                    pa.array([zlib.crc32(r[2]) for r in rows], pa.int64()),
-                    pa.array([r[2] for r in rows], pa.binary()),
-                ],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
-            )
+            columns = {
+                "doc_id": b.column("doc_id").take(pa.array([r[3] for r in rows], pa.int64())),
+                "piece": pa.array([r[0] for r in rows], pa.int32()),
+                "start": pa.array([r[1] for r in rows], pa.int64()),
+                "length": pa.array([len(r[2]) // 4 for r in rows], pa.int64()),
+                "ids_crc32": pa.array([zlib.crc32(r[2]) for r in rows], pa.int64()),
+            }
+            if ids:
+                columns["ids"] = pa.array([r[2] for r in rows], pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return wanted.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    return wanted.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if ids else ""))
 
 
 def place(rows: DataFrame, size: int = SIZE) -> DataFrame:
@@ -147,5 +146,4 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, id_col: s
     Documents longer than ``size`` are cut there, others never. Repeated rows are packed as often as they occur, null
     doc_ids stay null, and other columns of ``docs`` are not read.
     """
-    cut = pieces(docs, path, size, end, id_col, text_col)
-    return place(cut if ids else cut.drop("ids"), size)
+    return place(pieces(docs, path, size, end, id_col, text_col, ids), size)
